@@ -18,6 +18,8 @@ TAG_MAP = {
     "FD003": {"s2": "u", "s3": "d", "s4": "u", "s7": "d"},
 }
 
+TAG_ROWS = ", ".join(f"('{d}', '{s}', '{t}')" for d, sensors in TAG_MAP.items() for s, t in sensors.items())
+
 _settled: dict[tuple, DataFrame] = {}
 
 
@@ -86,13 +88,10 @@ series AS (
 
 
 def tags(spark: SparkSession) -> DataFrame:
-    rows = [(dataset, sensor, tag) for dataset, sensors in TAG_MAP.items() for sensor, tag in sensors.items()]
-    return spark.createDataFrame(rows, "dataset string, sensor string, tag string")
+    return spark.sql(f"SELECT * FROM VALUES {TAG_ROWS} AS tags(dataset, sensor, tag)")
 
 
-TAGS = "\ntags(dataset, sensor, tag) AS (VALUES {})".format(
-    ", ".join(f"('{d}', '{s}', '{t}')" for d, sensors in TAG_MAP.items() for s, t in sensors.items())
-)
+TAGS = f"\ntags(dataset, sensor, tag) AS (VALUES {TAG_ROWS})"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
