@@ -36,8 +36,9 @@ def text_report(report: DataFrame, by: Sequence[str] = (), digits: int = 3) -> D
         .otherwise(F.col("class").try_cast("int"))
     )
     number = f"%9.{digits}f"
-    full = F.format_string(f"%12s  {number} {number} {number} %9d", "class", "precision", "recall", "f1", "support")
-    short = F.format_string(f"%12s  %9s %9s {number} %9d", "class", F.lit(""), F.lit(""), "f1", "support")
+    even = lambda m: F.bround(m, digits)  # ties to even, as C and Python print them
+    full = F.format_string(f"%12s  {number} {number} {number} %9d", "class", even("precision"), even("recall"), even("f1"), "support")
+    short = F.format_string(f"%12s  %9s %9s {number} %9d", "class", F.lit(""), F.lit(""), even("f1"), "support")
     lines = report.select(*by, place.alias("place"), F.when(F.col("class") == "accuracy", short).otherwise(full).alias("line"))
     head = F.format_string("%12s  %9s %9s %9s %9s", F.lit(""), F.lit("precision"), F.lit("recall"), F.lit("f1-score"), F.lit("support"))
     heads = report.select(*by).distinct() if by else report.limit(1).select()

@@ -19,5 +19,5 @@ def query(name: str, sql: str | None = None):
 
 
 def sql(body: str, *views: str) -> str:
-    """``body`` after the common table expressions ``views``."""
+    """``body`` after the common table expressions ``views``; a body may begin with ``,`` and further expressions."""
     return ("WITH " + ",".join(views) if views else "") + "\n" + body
