@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from fleetwear.queries import files, relational  # noqa: F401
+from fleetwear.queries import files, modelling, prep, relational  # noqa: F401
