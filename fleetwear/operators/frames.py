@@ -116,11 +116,32 @@ def pool_tokens(tokens: DataFrame, key: Sequence[str], max_tokens: int | None =
     return sums.select(*key, "dim", (F.col("_s") / F.greatest("_n", F.lit(1))).alias("value"))
 
 
-def token_vector(token: Column, dim: int) -> Column:
-    """A token's vector of ``dim`` values in [-1, 1): four hex digits each, eight values from one md5."""
-    digests = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 8)), lambda b: hash_text(token, b))
-    value = lambda h, place: F.conv(F.substring(h, 1 + 4 * place, 4), 16, 10).cast("double") / 32768.0 - 1.0
-    return F.slice(F.flatten(F.transform(digests, lambda h: F.array(*[value(h, place) for place in range(8)]))), 1, dim)
+def with_token_values(tokens: DataFrame, token: str, dim: int) -> tuple[DataFrame, list[Column]]:
+    """Rows with hashed digits, and ``dim`` columns in [-1, 1) over them: four hex digits of an md5 per value.
+
+    Plain columns in two steps, so that code generation hashes a token once per eight values.
+    """
+    digests = {f"_h{b}": hash_text(F.col(token), b) for b in range((dim + 7) // 8)}
+    pieces = {
+        f"{h}_{place}": F.conv(F.substring(h, 1 + 4 * place, digits), 16, 10).cast("bigint")
+        for h in digests
+        for place, digits in ((0, 12), (3, 12), (6, 8))
+    }
+    rows = tokens.withColumns(digests).withColumns(pieces).drop(*digests)
+
+    def value(d: int) -> Column:
+        place = d % 8
+        first, size = (place // 3 * 3, 3) if place < 6 else (6, 2)
+        shift = 16 * (size - 1 - (place - first))
+        digits = F.shiftright(F.col(f"_h{d // 8}_{first}"), shift).bitwiseAND(F.lit(65535))
+        return digits.cast("double") / 32768.0 - 1.0
+
+    return rows, [value(d) for d in range(dim)]
+
+
+def with_token_vector(tokens: DataFrame, token: str, dim: int, name: str = "vector") -> DataFrame:
+    rows, values = with_token_values(tokens, token, dim)
+    return rows.select(*tokens.columns, F.array(*values).alias(name))
 
 
 def words(text: Column) -> Column:
@@ -130,15 +151,15 @@ def words(text: Column) -> Column:
 def embed_text(df: DataFrame, key: Sequence[str], text: str, dim: int = 16, max_tokens: int | None = None) -> DataFrame:
     """``key, embedding``: the mean vector of a row's word tokens; a row without tokens gets zeros.
 
-    Tokens and vectors come from the row itself, so the embedding is one narrow projection. Whole texts by default;
-    ``max_tokens`` stands for the token limit of an embedding model.
+    The tokens of a row are summed in the task that split them, so one row per text is shuffled. Whole texts by
+    default; ``max_tokens`` stands for the token limit of an embedding model.
     """
     tokens = words(F.col(text)) if max_tokens is None else F.slice(words(F.col(text)), 1, max_tokens)
-    rows = df.select(*key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
-    zero = F.array(*[F.lit(0.0)] * dim)
-    summed = F.aggregate("_t", zero, lambda acc, t: F.zip_with(acc, token_vector(t, dim), lambda a, b: a + b))
-    count = F.greatest(F.size("_t"), F.lit(1))
-    return rows.select(*key, F.transform(summed, lambda v: v / count).alias("embedding"))
+    rows, values = with_token_values(df.select(*key, F.explode_outer(tokens).alias("_t")), "_t", dim)
+    live = [F.when(F.col("_t").isNotNull(), v).otherwise(0.0) for v in values]
+    sums = rows.groupBy(*key).agg(*[F.sum(v).alias(f"_s{d}") for d, v in enumerate(live)], F.count("_t").alias("_n"))
+    count = F.greatest("_n", F.lit(1))
+    return sums.select(*key, F.array(*[F.col(f"_s{d}") / count for d in range(dim)]).alias("embedding"))
 
 
 def embed_with(df: DataFrame, text: str, make_model: Callable, batch_size: int = 4, name: str = "embedding") -> DataFrame:

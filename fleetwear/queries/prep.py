@@ -63,18 +63,20 @@ def index(spark, sf):
 @query(
     "w2_smooth",
     sql(
-        """SELECT unit, i, round(pow(0.95::DOUBLE, i) * sum(CASE WHEN i = 0 THEN y ELSE 0.05 * y END * pow(0.95::DOUBLE, -i))
+        """SELECT unit, i, round(pow(0.95::DOUBLE, i) * sum(CASE WHEN i = 0 THEN y / 7 ELSE 0.05 * y / 7 END * pow(0.95::DOUBLE, -i))
   OVER (PARTITION BY unit ORDER BY i), 6) AS smooth FROM series""",
         V.SERIES,
     ),
 )
 def smooth(spark, sf):
-    return rounded(series.ewm(V.series(spark, sf), ["unit"]).select("unit", "i", "smooth"), "smooth")
+    # sevenths have no short decimals, so no smoothed value lies on a rounding tie
+    rows = V.series(spark, sf).withColumn("y", F.col("y") / 7)
+    return rounded(series.ewm(rows, ["unit"]).select("unit", "i", "smooth"), "smooth")
 
 
-@query("w3_deviation", sql("SELECT unit, i, round(abs(y - avg(y) OVER (PARTITION BY unit)), 6) AS dev FROM series", V.SERIES))
+@query("w3_deviation", sql("SELECT unit, i, round(abs(y - avg(y) OVER (PARTITION BY unit)), 9) AS dev FROM series", V.SERIES))
 def deviation(spark, sf):
-    return rounded(series.abs_dev(V.series(spark, sf), ["unit"]).select("unit", "i", "dev"), "dev")
+    return series.abs_dev(V.series(spark, sf), ["unit"]).select("unit", "i", F.round("dev", 9).alias("dev"))
 
 
 @query("w4_knee", sql("SELECT unit, n, knee FROM knees", V.SERIES, SERIES_TAGGED, knee_sql("tagged", "unit")))
@@ -176,13 +178,13 @@ def states(spark, sf):
     sql(
         """, wide AS (PIVOT (SELECT dataset, unit, cycle, sensor, v FROM scaled) ON sensor IN ('s2', 's3', 's4', 's7') USING max(v)
   GROUP BY dataset, unit, cycle)
-SELECT dataset, unit, cycle, round(w.s2, 6) AS s2, round(w.s3, 6) AS s3, round(w.s4, 6) AS s4, round(w.s7, 6) AS s7, tag, state
+SELECT dataset, unit, cycle, w.s2, w.s3, w.s4, w.s7, tag, state
 FROM labelled JOIN wide w USING (dataset, unit, cycle)""",
         *STATES,
     ),
 )
 def states_scaled(spark, sf):
-    return rounded(label_states(V.readings(spark, sf), V.tags(spark), V.SENSORS, emit="normalized"), *V.SENSORS)
+    return label_states(V.readings(spark, sf), V.tags(spark), V.SENSORS, emit="normalized")
 
 
 def labelled(spark, sf):

@@ -438,13 +438,14 @@ def losses(spark, sf):
     "a12_mean_std",
     sql(
         "SELECT "
-        + ", ".join(f"round(avg({s}), 6) AS {s}_mean, round(stddev_pop({s}) + 1e-6, 6) AS {s}_std" for s in ("s2", "s4"))
+        + ", ".join(f"round(avg({s}), 9) AS {s}_mean, round(stddev_pop({s}) + 1e-6, 9) AS {s}_std" for s in ("s2", "s4"))
         + " FROM readings",
         V.READINGS,
     ),
 )
 def mean_std(spark, sf):
-    return rounded(scaling.mean_std(V.readings(spark, sf), ["s2", "s4"]), "s2_mean", "s4_mean", "s2_std", "s4_std")
+    row = scaling.mean_std(V.readings(spark, sf), ["s2", "s4"])
+    return row.select(*[F.round(c, 9).alias(c) for c in row.columns])
 
 
 @query("a13_row_counts", sql("SELECT dataset, count(*) AS rows, 7 AS columns FROM readings GROUP BY dataset", V.READINGS))
@@ -469,7 +470,7 @@ token_values AS (
 def pool_tokens(spark, sf):
     docs = V.table(spark, sf, "documents")
     tokens = docs.select("doc_id", F.posexplode(frames.words(F.col("text"))).alias("pos", "token"))
-    tokens = tokens.select("doc_id", "pos", F.lit(1).alias("mask"), frames.token_vector(F.col("token"), 8).alias("vector"))
+    tokens = frames.with_token_vector(tokens.withColumn("mask", F.lit(1)), "token", 8)
     return rounded(frames.pool_tokens(tokens, ["doc_id"]), "value")
 
 
