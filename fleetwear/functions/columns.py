@@ -33,14 +33,18 @@ def hash_unit(digest: Column, start: int = 9) -> Column:
 
 
 def permutation(key: Sequence[Column], n: int, seed: int) -> Column:
-    """A pseudo-random order of 0..n-1 for each row."""
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(hash_text(seed, *key, i).alias("h"), i.alias("i")))
-    return F.transform(F.array_sort(drawn), lambda d: d["i"])
+    """A pseudo-random order of 0..n-1 for each row.
 
+    Written out as plain columns and a natural sort: lambdas would be interpreted for every row.
+    """
+    prefix = _text(seed, *key)
+    drawn = [F.struct(F.md5(F.concat(prefix, F.lit(f":{i}"))).alias("h"), F.lit(i).alias("i")) for i in range(n)]
+    return F.sort_array(F.array(*drawn))["i"]
 
-def ranks(perm: Column) -> Column:
-    """Inverse of a permutation: at each position, when it is drawn."""
-    return F.transform(perm, lambda _, i: (F.array_position(perm, i) - 1).cast("int"))
+
+def ranks(perm: Column, n: int) -> Column:
+    """Inverse of a permutation of 0..n-1: at each position, when it is drawn."""
+    return F.array(*[(F.array_position(perm, i) - 1).cast("int") for i in range(n)])
 
 
 def first_k(values: Column, k) -> Column:
@@ -48,7 +52,7 @@ def first_k(values: Column, k) -> Column:
 
 
 def smallest(values: Column, k: int) -> Column:
-    return F.slice(F.array_sort(values), 1, k)
+    return F.slice(F.sort_array(values), 1, k)
 
 
 def mask(features: Column, perm: Column, k) -> Column:
@@ -57,10 +61,10 @@ def mask(features: Column, perm: Column, k) -> Column:
     return F.transform(features, lambda v, i: F.when(F.array_contains(hidden, i), F.lit(MASKED)).otherwise(v))
 
 
-def mask_ranked(features: Column, rank: Column, k) -> Column:
-    """Same as ``mask`` from the inverse permutation; linear in the width."""
+def mask_ranked(features: Column, rank: Column, k, width: int) -> Column:
+    """Same as ``mask`` from the inverse permutation; linear in the width and without lambdas."""
     k = k if isinstance(k, Column) else F.lit(k)
-    return F.zip_with(features, rank, lambda v, r: F.when(r < k, F.lit(MASKED)).otherwise(v))
+    return F.array(*[F.when(rank[i] < k, F.lit(MASKED)).otherwise(features[i]) for i in range(width)])
 
 
 def trunc(value: Column) -> Column:

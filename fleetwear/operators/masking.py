@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.functions.columns import mask_ranked, permutation, ranks
@@ -29,21 +29,21 @@ def order_ranks(order: DataFrame, width: int) -> list[int]:
     return [place.get(p, width) for p in range(width)]
 
 
-def random_ranks(key: Sequence[str], width: int, seed: int) -> Column:
-    return ranks(permutation([F.col(k) for k in key], width, seed))
+def _with_random_ranks(df: DataFrame, key: Sequence[str], width: int, seed: int) -> DataFrame:
+    drawn = df.withColumn("_p", permutation([F.col(k) for k in key], width, seed))
+    return drawn.withColumn("_r", ranks(F.col("_p"), width)).drop("_p")
 
 
 def mask_random(df: DataFrame, key: Sequence[str], k: int, width: int, seed: int = 42, features: str = "features") -> DataFrame:
     """Hide ``k`` random positions of each row; narrow."""
-    return df.withColumn("_r", random_ranks(key, width, seed)).withColumn(
-        features, mask_ranked(F.col(features), F.col("_r"), k)
-    ).drop("_r")
+    ranked = _with_random_ranks(df, key, width, seed)
+    return ranked.withColumn(features, mask_ranked(F.col(features), F.col("_r"), k, width)).drop("_r")
 
 
 def mask_by_importance(df: DataFrame, order: DataFrame, k: int, width: int, features: str = "features") -> DataFrame:
     """Hide the ``k`` most important positions of every row."""
     rank = F.array(*[F.lit(r) for r in order_ranks(order, width)])
-    return df.withColumn(features, mask_ranked(F.col(features), rank, k))
+    return df.withColumn(features, mask_ranked(F.col(features), rank, k, width))
 
 
 def scenarios(
@@ -62,13 +62,13 @@ def scenarios(
     sensors are also listed in ``masked_sensors``.
     """
     if how == "random":
-        rank = random_ranks(key, width, seed)
+        ranked = _with_random_ranks(df, key, width, seed)
     elif how == "importance":
-        rank = F.array(*[F.lit(r) for r in order_ranks(order, width)])
+        ranked = df.withColumn("_r", F.array(*[F.lit(r) for r in order_ranks(order, width)]))
     else:
         raise ValueError("how is 'random' or 'importance'")
-    out = df.withColumn("_r", rank).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    out = out.withColumn(features, mask_ranked(F.col(features), F.col("_r"), F.col("scenario")))
+    out = ranked.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    out = out.withColumn(features, mask_ranked(F.col(features), F.col("_r"), F.col("scenario"), width))
     if names:
         labels = F.array(*[F.lit(n) for n in names])
         hidden = F.zip_with(F.col("_r"), labels, lambda r, n: F.when(r < F.col("scenario"), n))

@@ -23,20 +23,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local master may leave it unset; then a temporary folder is set for the session. On a cluster
-    an unset folder is an error, because executors do not share a machine-local one.
+    A local master may leave it unset; then one temporary folder per session is used. On a cluster an unset folder
+    is an error, because executors do not share a machine-local one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="fleetwear-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    session = spark.sparkContext.applicationId
+    if session not in _local_dirs:
+        _local_dirs[session] = tempfile.mkdtemp(prefix="fleetwear-")
+    return _local_dirs[session]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
