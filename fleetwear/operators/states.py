@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwear.operators.scaling import minmax_fit, minmax_value
+from fleetwear.operators.scaling import minmax_apply, minmax_fit, minmax_value, settled_stats
 from fleetwear.operators.series import by_length, knee_rows, nine_decimals, number_rows, phase_edges, phase_positions
 from fleetwear.runtime import settle
 from fleetwear.schema import TAGS
@@ -16,32 +16,41 @@ ENGINE = ["dataset", "unit"]
 
 
 def dataset_profile(readings: DataFrame, tags: DataFrame, sensors: Sequence[str]) -> DataFrame:
-    """One row per mapped dataset: minimum, maximum and tag of every sensor (stored, so its size is known)."""
-    stats = minmax_fit(readings, ["dataset"], sensors)
-    tag_of = [F.max(F.when(F.col("sensor") == s, F.col("tag"))).alias(f"{s}_tag") for s in sensors]
-    return settle(stats.join(tags.groupBy("dataset").agg(*tag_of), "dataset"), "profile")
-
+    """One row per mapped dataset: per tag group, the place, minimum and maximum of its sensors in ``sensors``.
 
-def scaled_columns(sensors: Sequence[str]) -> dict[str, Column]:
-    """Scaled sensors, rounded to 9 decimals so that later comparisons do not depend on summation order."""
-    return {s: nine_decimals(minmax_value(F.col(s), F.col(f"{s}_min"), F.col(f"{s}_max"))) for s in sensors}
+    Stored, so that its true size decides how it is joined.
+    """
+    stats = minmax_fit(readings, ["dataset"], sensors)
+    ends = [
+        F.struct(F.lit(s).alias("sensor"), F.lit(place).alias("place"), F.col(f"{s}_min").alias("lo"), F.col(f"{s}_max").alias("hi"))
+        for place, s in enumerate(sensors)
+    ]
+    limits = stats.select("dataset", F.inline(F.array(*ends)))
+    tagged = limits.join(tags.filter(F.col("tag").isin(*TAGS)), ["dataset", "sensor"])
+    members = F.sort_array(F.collect_list(F.struct("place", "lo", "hi"))).alias("members")
+    groups = tagged.groupBy("dataset", "tag").agg(members)
+    return settle(
+        groups.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("tag", "members"))).alias("groups")), "profile"
+    )
 
 
-def tag_means(sensors: Sequence[str]) -> dict[str, Column]:
-    """Per tag, the row mean of its (already scaled) sensors, missing values skipped; null for a tag without sensors.
+def group_means(sensors: Sequence[str]) -> Column:
+    """Per tag group of the row's dataset, ``(tag, y)``: the mean of its scaled sensors, missing values skipped.
 
-    Plain columns: arrays of structs here would triple the cost of the scan.
+    Walks only the members of each group. Written out per sensor and tag, the generated method would outgrow what the
+    JVM compiles. Rounding to 9 decimals keeps later comparisons free of the order of summation.
     """
+    values = F.array(*[F.col(s) for s in sensors])
 
-    def mean(tag: str) -> Column:
-        total, count = F.lit(0.0), F.lit(0)
-        for s in sensors:
-            member = (F.col(f"{s}_tag") == tag) & F.col(s).isNotNull()
-            total = total + F.when(member, F.col(s)).otherwise(0.0)
-            count = count + F.when(member, 1).otherwise(0)
+    def mean(group: Column) -> Column:
+        scaled = F.transform(
+            group["members"], lambda m: nine_decimals(minmax_value(F.get(values, m["place"]), m["lo"], m["hi"]))
+        )
+        total = F.aggregate(scaled, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+        count = F.size(F.filter(scaled, lambda v: v.isNotNull()))
         return nine_decimals(total / F.nullif(count, F.lit(0)))
 
-    return {tag: mean(tag) for tag in TAGS}
+    return F.transform("groups", lambda g: F.struct(g["tag"].alias("tag"), mean(g).alias("y")))
 
 
 def label_states(
@@ -58,30 +67,25 @@ def label_states(
     ``readings`` needs ``dataset, unit, cycle`` (unique) and the sensors; ``tags`` is ``dataset, sensor, tag``.
     Datasets without tags are skipped. ``emit`` chooses raw or min-max scaled sensors in the output.
 
-    The curves travel alone: one narrow shuffle by engine for the knees, one shuffle of the full rows by engine for
-    numbering and labelling, and nothing in between; all tags of an engine share its shuffle.
+    Rows are shuffled by engine and numbered once; curves, knees and labels follow on that partitioning. All tags
+    of an engine share its shuffle.
     """
     if emit not in ("raw", "normalized"):
         raise ValueError("emit is 'raw' or 'normalized'")
     profile = dataset_profile(readings, tags, sensors)
-    scaled = scaled_columns(sensors)
     payload = [c for c in readings.columns if c not in ("i", "n")]
     series = [*ENGINE, "tag"]
 
     def build(part: DataFrame, chunk: int) -> DataFrame:
-        means = part.join(profile, "dataset").withColumns(scaled)
-        means = means.select(*ENGINE, "cycle", *[y.alias(tag) for tag, y in tag_means(sensors).items()])
-        curves = number_rows(means, ENGINE, ["cycle"], chunk)
-        # inline, not unpivot: it keeps the partitioning by engine, so the windows below need no further shuffle
-        pairs = F.array(*[F.struct(F.lit(tag).alias("tag"), F.col(tag).alias("y")) for tag in TAGS])
-        curves = curves.select(*ENGINE, "i", "n", F.inline(pairs)).filter(F.col("y").isNotNull())
+        rows = number_rows(part.select(*payload), ENGINE, ["cycle"], chunk)
+        curves = rows.join(profile, "dataset").select(*ENGINE, "i", "n", F.inline(group_means(sensors)))
+        curves = curves.filter(F.col("y").isNotNull())
         edges = phase_edges(knee_rows(curves, series, F.col("tag"), sensitivity, chunk))
         one, two, three = phase_positions(F.col("edges"), shift)
         edges = edges.select(
             *ENGINE, F.struct("tag", F.col("n").alias("size"), one.alias("one"), two.alias("two"), three.alias("three")).alias("e")
         )
         edges = edges.groupBy(*ENGINE).agg(F.array_sort(F.collect_list("e")).alias("phases"))
-        rows = number_rows(part.select(*payload), ENGINE, ["cycle"], chunk)
         if chunk:  # few engines are long, so this table is small; stored, it is broadcast by its size
             edges = settle(edges, "edges")
         return rows.drop("n").join(edges, ENGINE).select(*payload, "i", F.inline("phases"))
@@ -95,7 +99,7 @@ def label_states(
     )
     labelled = labelled.select(*payload, "tag", state.alias("state"))
     if emit == "normalized":
-        labelled = labelled.join(profile, "dataset").select(
-            *[scaled[c].alias(c) if c in scaled else F.col(c) for c in payload], "tag", "state"
-        )
+        stats = settled_stats(readings, ["dataset"], sensors)
+        labelled = minmax_apply(labelled, stats, ["dataset"], sensors)
+        labelled = labelled.withColumns({s: nine_decimals(F.col(s)) for s in sensors})
     return labelled
