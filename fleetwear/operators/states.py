@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwear.operators.scaling import minmax_apply, minmax_fit, minmax_value, settled_stats
+from fleetwear.operators.scaling import minmax_apply, minmax_fit, settled_stats
 from fleetwear.operators.series import by_length, knee_rows, nine_decimals, number_rows, phase_edges, phase_positions
 from fleetwear.runtime import settle
 from fleetwear.schema import TAGS
@@ -15,42 +15,43 @@ from fleetwear.schema import TAGS
 ENGINE = ["dataset", "unit"]
 
 
-def dataset_profile(readings: DataFrame, tags: DataFrame, sensors: Sequence[str]) -> DataFrame:
-    """One row per mapped dataset: per tag group, the place, minimum and maximum of its sensors in ``sensors``.
+def group_profile(readings: DataFrame, tags: DataFrame, sensors: Sequence[str]) -> DataFrame:
+    """One row per dataset and tag: ``<s>_lo`` and ``<s>_span`` of the sensors with that tag, null for the others.
 
-    Stored, so that its true size decides how it is joined.
+    A constant sensor gets an endless span, which scales it to 0. Stored, so that its true size decides the join.
     """
     stats = minmax_fit(readings, ["dataset"], sensors)
+    span = lambda s: F.col(f"{s}_max") - F.col(f"{s}_min")
     ends = [
-        F.struct(F.lit(s).alias("sensor"), F.lit(place).alias("place"), F.col(f"{s}_min").alias("lo"), F.col(f"{s}_max").alias("hi"))
-        for place, s in enumerate(sensors)
+        F.struct(
+            F.lit(s).alias("sensor"),
+            F.col(f"{s}_min").alias("lo"),
+            F.when(span(s) == 0, F.lit(float("inf"))).otherwise(span(s)).alias("span"),
+        )
+        for s in sensors
     ]
     limits = stats.select("dataset", F.inline(F.array(*ends)))
     tagged = limits.join(tags.filter(F.col("tag").isin(*TAGS)), ["dataset", "sensor"])
-    members = F.sort_array(F.collect_list(F.struct("place", "lo", "hi"))).alias("members")
-    groups = tagged.groupBy("dataset", "tag").agg(members)
-    return settle(
-        groups.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("tag", "members"))).alias("groups")), "profile"
-    )
+    own = [F.max(F.when(F.col("sensor") == s, F.col(c))).alias(f"{s}_{c}") for s in sensors for c in ("lo", "span")]
+    return settle(tagged.groupBy("dataset", "tag").agg(*own), "profile")
 
 
-def group_means(sensors: Sequence[str]) -> Column:
-    """Per tag group of the row's dataset, ``(tag, y)``: the mean of its scaled sensors, missing values skipped.
+def group_curves(rows: DataFrame, profile: DataFrame, key: Sequence[str], sensors: Sequence[str]) -> DataFrame:
+    """``key, tag, y`` per row and tag group of its dataset: the mean of the group's scaled sensors, missing ones skipped.
 
-    Walks only the members of each group. Written out per sensor and tag, the generated method would outgrow what the
-    JVM compiles. Rounding to 9 decimals keeps later comparisons free of the order of summation.
+    The join makes one row per tag, so the code walks the sensors once. The expressions are kept short on purpose: a
+    generated method above 8,000 bytes is never compiled by the JVM and runs ten times slower. Rounding to 9
+    decimals keeps later comparisons free of the order of summation.
     """
-    values = F.array(*[F.col(s) for s in sensors])
-
-    def mean(group: Column) -> Column:
-        scaled = F.transform(
-            group["members"], lambda m: nine_decimals(minmax_value(F.get(values, m["place"]), m["lo"], m["hi"]))
-        )
-        total = F.aggregate(scaled, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
-        count = F.size(F.filter(scaled, lambda v: v.isNotNull()))
-        return nine_decimals(total / F.nullif(count, F.lit(0)))
-
-    return F.transform("groups", lambda g: F.struct(g["tag"].alias("tag"), mean(g).alias("y")))
+    joined = rows.join(profile, "dataset")
+    joined = joined.withColumns({s: nine_decimals((F.col(s) - F.col(f"{s}_lo")) / F.col(f"{s}_span")) for s in sensors})
+    total, count = F.lit(0.0), F.lit(0)
+    for s in sensors:
+        total = total + F.coalesce(F.col(s), F.lit(0.0))
+        count = count + F.col(s).isNotNull().cast("int")
+    sums = joined.select(*key, "tag", total.alias("_total"), count.alias("_count"))
+    mean = F.when(F.col("_count") > 0, nine_decimals(F.col("_total") / F.col("_count")))
+    return sums.select(*key, "tag", mean.alias("y"))
 
 
 def label_states(
@@ -72,14 +73,13 @@ def label_states(
     """
     if emit not in ("raw", "normalized"):
         raise ValueError("emit is 'raw' or 'normalized'")
-    profile = dataset_profile(readings, tags, sensors)
+    profile = group_profile(readings, tags, sensors)
     payload = [c for c in readings.columns if c not in ("i", "n")]
     series = [*ENGINE, "tag"]
 
     def build(part: DataFrame, chunk: int) -> DataFrame:
         rows = number_rows(part.select(*payload), ENGINE, ["cycle"], chunk)
-        curves = rows.join(profile, "dataset").select(*ENGINE, "i", "n", F.inline(group_means(sensors)))
-        curves = curves.filter(F.col("y").isNotNull())
+        curves = group_curves(rows, profile, [*ENGINE, "i", "n"], sensors)
         edges = phase_edges(knee_rows(curves, series, F.col("tag"), sensitivity, chunk))
         one, two, three = phase_positions(F.col("edges"), shift)
         edges = edges.select(
