@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.packing import pack_documents
+from fleetwear.llm.quality_rules import judge
+from fleetwear.llm.url_rules import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +32,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition counts of every document, and the verdict of the histogram distances."""
+    return judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary, as digests."""
@@ -40,3 +48,9 @@ def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the listed rules and the rules mined from the labels."""
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
