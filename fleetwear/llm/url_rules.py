@@ -1,7 +1,7 @@
 """URL filtering: listed rules by host and path first, then association rules that FP-growth mines from labelled URLs.
 
-A URL is a basket of tokens: its scheme, every suffix of its host, the words in it, its path segments by place, its file ending, and the names and
-pairs of its query. FP-growth runs over the baskets of labelled URLs together with the label as one more token. Of the rules with
+A URL is a basket of tokens: its scheme, every suffix of its host from two labels on, the words of compound labels, its path segments by place, and the
+pairs of its query. No token is implied by another, so that item sets stay few. FP-growth runs over the baskets of labelled URLs together with the label as one more token. Of the rules with
 a label on their right side those are kept whose support and confidence hold, the latter also at the lower end of its
 interval, and that no shorter rule already covers. A kept rule stands in an inverted index under its rarest token, so a URL
 meets a rule only where it holds that token. All of it is DataFrame expressions.
@@ -48,18 +48,18 @@ def tokens_of(url: Column) -> Column:
     parts = F.split(host, r"\.")
     size = F.size(parts)
     hosts = F.transform(
-        F.sequence(F.lit(1), size), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(parts, k, size), "."))
+        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(parts, k, size), "."))
     )
-    words = F.transform(F.filter(F.split(host, r"[.\-_]"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x))
+    compound = F.filter(parts, lambda x: x.rlike("[-_]"))
+    words = F.flatten(F.transform(compound, lambda x: F.transform(F.split(x, "[-_]"), lambda w: F.concat(F.lit("word:"), w))))
     segments = F.transform(
         F.filter(F.split(path, "/"), lambda x: x != ""),
         lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, r"[0-9]+", "0")),
     )
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
-    names = F.transform(pairs, lambda x: F.concat(F.lit("name:"), F.substring_index(x, "=", 1)))
     values = F.transform(pairs, lambda x: F.concat(F.lit("pair:"), F.regexp_replace(x, r"[0-9]+", "0")))
     scheme = F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1))
-    found = F.concat(F.array(scheme), hosts, words, segments, names, values)
+    found = F.concat(F.array(scheme), hosts, words, segments, values)
     return F.when(url.contains("://"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
