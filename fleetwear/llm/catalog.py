@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwear.llm.bpe import encode_texts
+from fleetwear.llm.jaccard_join import near_duplicates
 from fleetwear.llm.packing import pack_documents
 from fleetwear.llm.quality_rules import judge
 from fleetwear.llm.url_rules import filter_urls
@@ -38,6 +39,12 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of three-word shingle sets of at least 90 % similarity."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("class_key")
+
+
 @query
 def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary, as digests."""
