@@ -10,6 +10,7 @@ from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
 from fleetwear.llm.packing import pack_documents
 from fleetwear.llm.quality_rules import judge
+from fleetwear.llm.repeats import remove_repeats
 from fleetwear.llm.url_rules import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op8_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words, as a digest."""
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digest=True)
+
+
 @query
 def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the listed rules and the rules mined from the labels."""
