@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
 from fleetwear.llm.packing import pack_documents
+from fleetwear.llm.quality_model import classify, train
 from fleetwear.llm.quality_rules import judge
 from fleetwear.llm.repeats import remove_repeats
 from fleetwear.llm.url_rules import filter_urls
@@ -52,6 +53,13 @@ def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digest=True)
 
 
+@query
+def op6_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by an additive model learned from the labels outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return classify(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
