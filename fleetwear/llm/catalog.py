@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
+from fleetwear.llm.kd_shards import shard_documents
 from fleetwear.llm.packing import pack_documents
 from fleetwear.llm.quality_model import classify, train
 from fleetwear.llm.quality_rules import judge
@@ -47,6 +48,12 @@ def op2_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("class_key")
 
 
+@query
+def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 @query
 def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary, as digests."""
