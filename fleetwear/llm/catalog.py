@@ -10,6 +10,7 @@ from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
 from fleetwear.llm.kd_shards import shard_documents
 from fleetwear.llm.packing import pack_documents
+from fleetwear.llm.posting_lists import nearest
 from fleetwear.llm.quality_model import classify, train
 from fleetwear.llm.quality_rules import judge
 from fleetwear.llm.repeats import remove_repeats
@@ -60,6 +61,12 @@ def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digest=True)
 
 
+@query
+def op5_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth embedding."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score by an additive model learned from the labels outside the held-out fold."""
