@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
+from fleetwear.llm.katz import score_texts
 from fleetwear.llm.kd_shards import shard_documents
 from fleetwear.llm.packing import pack_documents
 from fleetwear.llm.posting_lists import nearest
@@ -86,6 +87,12 @@ def op8_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digest=True)
 
 
+@query
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability under the Katz backoff bigrams of the training documents."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the listed rules and the rules mined from the labels."""
