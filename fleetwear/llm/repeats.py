@@ -4,7 +4,7 @@ A window of ``window`` words holds one anchor: the phrase of eight words whose m
 (a word's letter is a byte of its hash, a phrase's spelling its eight letters). Equal windows have equal anchors at equal
 places, so only phrases that are anchors twice can lie in a repeated window, and anchors are about one word in fifteen.
 
-1. Texts are packed, with their other columns, into blocks of a few megabytes, which all later passes read.
+1. Texts are packed, with their other columns, into blocks of about a megabyte, which all later passes read.
 2. Each block reports its anchors with a hash of the whole surroundings that windows around them can reach. Anchors
    reported once are done. Where the surroundings are equal too, every window around is repeated.
 3. For anchors with several surroundings, the windows of the unique ones, and of one of each repeated, are counted by hash.
@@ -33,7 +33,7 @@ from fleetwear.llm.words import Words, column_bytes, mix, powers, runs, words_of
 from fleetwear.runtime import settle
 
 PHRASE = 8
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _TURN = 0xA0761D6478BD642F
 WHOLE, EMIT = 1, 2
 

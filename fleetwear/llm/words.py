@@ -28,7 +28,7 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2^64 for i below ``size``; kept, and grown for longer texts."""
     have = _powers.get(base)
     if have is None or len(have[0]) < size:
-        size = max(size, CHUNK_BYTES + 1)
+        size = max(1 << 16, 1 << (size - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
         pair = []
         for factor in (base, inverse):
