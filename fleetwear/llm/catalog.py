@@ -41,13 +41,13 @@ def query(fn: Query) -> Query:
 @query
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition counts of every document, and the verdict of the histogram distances."""
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query
 def op2_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under links of three-word shingle sets of at least 90 % similarity."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("class_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90).drop("class_key", "text_hash")
 
 
 @query

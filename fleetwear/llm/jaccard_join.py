@@ -7,15 +7,16 @@
    ``a - o + m`` of one and the first ``b - o + m`` of the other, in that order, they share at least ``m``. Each class
    weighs, for every ``m`` it may use, the posting entries that its prefix would meet against the candidates these can
    yield at most (entries / m), takes the cheapest ``m``, and asks for ``m`` common shingles before a pair is verified.
-4. Before that, each class is verified against one class that it shares most prefix shingles with. Large groups of near copies
-   so fall together at once, and the join proper only looks at pairs from different components.
-5. Verification counts the intersection of the whole sets.
+4. Large groups of near copies do not meet pair by pair: a class that shares half its prefix with one other, its star, is verified
+   against that one alone, and the join looks for partners outside the star. A second join then covers the classes of
+   one star that verification has left in different components.
+5. Verification counts the intersection of the whole sets, which are made only for classes that are in some pair.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,9 +65,9 @@ def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.nd
         yield a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1], size)
 
 
-def _classes(documents: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, key`` of every row."""
-    kind = dict(documents.dtypes)[id_col]
+def _classes(documents: DataFrame, size: int) -> DataFrame:
+    """``id, text_hash, n_shingles, key`` of every row."""
+    kind = dict(documents.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,9 +75,11 @@ def _classes(documents: DataFrame, size: int, id_col: str, text_col: str) -> Dat
             for _, sets in _sets_of(batch, size):
                 n += map(len, sets)
                 keys += map(set_key, sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["id", "n_shingles", "key"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n_shingles", "key"])
 
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"id {kind}, n_shingles long, key long")
+    rows = documents.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(work, f"id {kind}, text_hash long, n_shingles long, key long")
 
 
 def _sketch(documents: DataFrame, size: int, text_col: str) -> np.ndarray:
@@ -170,7 +173,7 @@ def _prefixes(documents: DataFrame, size: int, t: int, steps: np.ndarray, text_c
     return documents.select(text_col).mapInArrow(work, "token long, key long, n int, at int")
 
 
-def _packed_sets(documents: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _packed_sets(documents: DataFrame, size: int, text_col: str) -> DataFrame:
     """``key, shingles binary`` of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,74 +207,82 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def _fits(t: int) -> Callable[[Column, Column], Column]:
-    return lambda small, large: 100 * small.cast("long") >= t * large.cast("long")
+def _tag(live: DataFrame, tags: DataFrame, name: str) -> DataFrame:
+    """Adds the tag of each row's class; a class without one is its own."""
+    return live.join(tags.select("key", name), "key", "left").withColumn(name, F.coalesce(name, "key"))
 
 
-def links(documents: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``a, b``: pairs of classes with similar sets, enough of them that all components are right.
-
-    A pair that is missing joins two classes of one component.
-    """
-    t, spark = percent, documents.sparkSession
-    steps = _steps(_sketch(documents, size, text_col))
-    prefix = _prefixes(documents, size, t, steps, text_col)
-    met = prefix.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi")
-    live = settle(prefix.join(met.select("token", F.col("lo").alias("pivot")), "token").distinct(), "live")
-    # One verified partner each: the class that most of its prefix shingles point to.
-    counted = live.filter("key != pivot").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    best = counted.groupBy("key").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("b"))
-    stars = settle(best.select(F.col("key").alias("a"), "b"), "stars")
-    needed = live.select("key").distinct()
-    wanted = classes.join(needed, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
-    held = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d").join(
-        wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi"
+def _candidates(rows: DataFrame, t: int, apart: str, within: str | None = None) -> DataFrame:
+    """``a, b``: pairs with enough shared prefix shingles, from different ``apart`` and, if given, the same ``within``."""
+    # A shingle whose holders are all on one side has nothing left to find.
+    side = [within] if within else []
+    held = rows.groupBy("token", *side).agg(
+        F.min(apart).alias("lo"),
+        F.max(apart).alias("hi"),
+        F.count_if(F.col("at") < index_base(F.col("n").cast("long"), t) + MAX_MATCHES).alias("entries"),
     )
-    sets = settle(_packed_sets(held, size, "id", "text").dropDuplicates(["key"]), "sets")
-    first = settle(_verify(stars, sets, t), "links")
-    grouped = settle(components(first, "a", "b"), "groups")
-    tagged = live.join(grouped.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    tagged = tagged.drop("pivot")
-    # A shingle whose holders are all in one component has nothing left to find.
-    open_tokens = tagged.groupBy("token").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(F.col("at") < index_base(F.col("n").cast("long"), t) + MAX_MATCHES).alias("entries")
-    )
-    rows = settle(tagged.join(open_tokens.filter("lo != hi").select("token", "entries"), "token"), "open")
+    rows = settle(rows.join(held.filter("lo != hi").select("token", *side, "entries"), ["token", *side]), "open")
     n = F.col("n").cast("long")
     allowed = F.least(F.lit(MAX_MATCHES), _ceil(t * n, 100))
     met_by = [F.sum(F.when(F.col("at") < probe_base(n, t) + m, F.col("entries")).otherwise(0)) for m in range(1, MAX_MATCHES + 1)]
     costs = rows.groupBy("key", "n").agg(*(c.alias(f"e{m}") for m, c in enumerate(met_by, 1)))
     # A posting entry costs 1, reading two sets to verify a candidate about a tenth of their size.
-    priced = [
-        F.struct(
-            (F.col(f"e{m}") * (1 + n / (10.0 * m))).alias("cost"), F.lit(m).alias("m")
-        )
-        for m in range(1, MAX_MATCHES + 1)
-    ]
-    chosen = costs.select(
-        "key", F.array_min(F.filter(F.array(*priced), lambda x: x["m"] <= allowed))["m"].alias("m")
-    )
+    priced = [F.struct((F.col(f"e{m}") * (1 + n / (10.0 * m))).alias("cost"), F.lit(m).alias("m")) for m in range(1, MAX_MATCHES + 1)]
+    chosen = costs.select("key", F.array_min(F.filter(F.array(*priced), lambda x: x["m"] <= allowed))["m"].alias("m"))
     probe = rows.join(chosen, "key").filter(F.col("at") < probe_base(n, t) + F.col("m"))
-    probe = probe.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), "m")
+    probe = probe.select("token", *side, F.col("key").alias("a"), F.col("n").alias("n_a"), F.col(apart).alias("c_a"), "m")
     index = rows.filter(F.col("at") < index_base(n, t) + MAX_MATCHES).select(
         "token",
+        *side,
         F.col("key").alias("b"),
         F.col("n").alias("n_b"),
-        F.col("component").alias("c_b"),
+        F.col(apart).alias("c_b"),
         (F.col("at") - index_base(n, t) + 1).alias("level"),
     )
-    fits = _fits(t)
     smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    near = 100 * F.col("n_b").cast("long") >= t * F.col("n_a").cast("long")
     pairs = (
-        probe.join(index, "token")
-        .filter(smaller & fits(F.col("n_b"), F.col("n_a")) & (F.col("c_a") != F.col("c_b")) & (F.col("level") <= F.col("m")))
+        probe.join(index, ["token", *side])
+        .filter(smaller & near & (F.col("c_a") != F.col("c_b")) & (F.col("level") <= F.col("m")))
         .groupBy("a", "b", "m")
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= F.col("m"))
         .select("a", "b")
     )
-    second = settle(_verify(settle(pairs, "candidates"), sets, t), "links")
-    return first.union(second)
+    return settle(pairs, "candidates")
+
+
+def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: pairs of classes with similar sets, enough of them that all components are right.
+
+    A pair that is missing joins two classes of one component.
+    """
+    t = percent
+    steps = _steps(_sketch(documents, size, "text"))
+    prefix = _prefixes(documents, size, t, steps, "text")
+    met = prefix.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("hi")).filter("pivot != hi")
+    live = settle(prefix.join(met.select("token", "pivot"), "token").distinct(), "live")
+    # Each class first meets one other: the one that at least half of its own prefix points to.
+    counted = live.filter("key != pivot").groupBy("key", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    likely = counted.filter(F.col("c") * 2 >= probe_base(F.col("n").cast("long"), t))
+    stars = settle(likely.groupBy("key").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("star")), "stars")
+    rows = settle(_tag(live.drop("pivot"), stars, "star"), "tagged")
+    first = stars.select(F.col("key").alias("a"), F.col("star").alias("b"))
+    pairs = settle(first.union(_candidates(rows, t, "star")), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = classes.join(needed, "key").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("one")).select("one.*")
+    held = (
+        documents.withColumn("text_hash", F.xxhash64("text"))
+        .alias("d")
+        .join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.text_hash") == F.col("w.text_hash")), "left_semi")
+        .dropDuplicates(["id", "text_hash"])
+    )
+    sets = settle(_packed_sets(held, size, "text"), "sets")
+    found = settle(_verify(pairs, sets, t), "links")
+    # Classes of one star that are still apart have not met each other yet.
+    parted = settle(components(found, "a", "b"), "groups").select(F.col("node").alias("key"), "component")
+    rest = _candidates(_tag(rows, parted, "component"), t, "component", "star")
+    return found.union(settle(_verify(rest, sets, t), "links"))
 
 
 def near_duplicates(
@@ -279,15 +290,15 @@ def near_duplicates(
 ) -> DataFrame:
     """Every document with the component of documents that it reaches by links of at least ``percent`` similarity.
 
-    Returns ``id_col, n_shingles, component_id, class_key``: the set's size, the smallest id reachable by links, itself included,
-    and the class of equal sets. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than ``size`` words has its whole
+    Returns ``id_col, n_shingles, component_id, class_key, text_hash``: the set's size, the smallest id reachable by links, itself included,
+    the class of equal sets, and Spark's xxhash64 of the text. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than ``size`` words has its whole
     sequence as its only shingle; one without words, or null, has none and is linked with nothing. One row for each row of
     the input; rows that repeat an id count as one document's where their texts are equal. A null id never is a
     component's smallest unless all are. An empty table gives no rows; other columns are not read.
     """
     base = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classes = settle(_classes(base, size, "id", "text"), "classes")
-    found = settle(components(links(base, classes, size, percent, "id", "text"), "a", "b"), "components")
+    classes = settle(_classes(base, size), "classes")
+    found = settle(components(links(base, classes, size, percent), "a", "b"), "components")
     full = classes.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("least"))
     placed = full.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -298,4 +309,5 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.col("key").alias("class_key"),
+        "text_hash",
     )

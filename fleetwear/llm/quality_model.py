@@ -272,3 +272,18 @@ def classify(documents: DataFrame, model: Model, threshold: float = 0.3, id_col:
     names = [id_col, "held_out", "score", "predicted"]
     rows = documents.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
     return rows.mapInArrow(work, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores at least ``threshold``, with all their columns, in one narrow pass."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(at))
+            for a, b in runs(offsets):
+                score = shared.value.score(features(data[offsets[a] : offsets[b]], offsets[a : b + 1]))
+                yield batch.slice(a, b - a).filter(pa.array(score >= threshold))
+
+    return documents.mapInArrow(work, documents.schema)

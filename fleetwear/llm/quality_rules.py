@@ -87,9 +87,10 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
     words = F.filter(F.split("text", f"[{BLANKS}]+"), lambda x: x != "")
-    df = base.select("id", "lang", "text", words.alias("words"), *(c.alias(k) for k, c in text_counts(F.col("text")).items()))
+    df = base.select("id", "lang", "text_hash", "text", words.alias("words"), *(c.alias(k) for k, c in text_counts(F.col("text")).items()))
     left = df.withColumn("left", F.col("text")).drop("text").withColumn("n_chars", F.length("left").cast("long"))
     for name, chars in CLASSES.items():
         left = left.withColumn("less", F.regexp_replace("left", f"[{chars}]+", ""))
@@ -106,6 +107,7 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(
         "id",
         "lang",
+        "text_hash",
         F.size("words").cast("long").alias("n_words"),
         (F.col("n_chars") - F.col("c_white")).alias("word_chars"),
         F.col("c_symbol").alias("n_symbols"),
@@ -148,7 +150,8 @@ def judge(
 ) -> DataFrame:
     """Counts and the verdict for every document.
 
-    Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance``.
+    Returns ``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, text_hash``, the last
+    Spark's xxhash64 of the text, to find the row again where ids repeat.
     A null text is an empty one, a null language a language of its own; one row for each row of the input, repeated
     ids included; an empty table gives no rows; other columns are not read. Distances are null, and do not
     count, below ``judged_words`` words or where a language has no reference; the word distance also below ``judged_common``
@@ -196,4 +199,5 @@ def judge(
         (~F.col("base_failed") & ~far).alias("kept"),
         "char_distance",
         "word_distance",
+        "text_hash",
     )
