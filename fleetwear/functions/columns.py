@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 from fleetwear.schema import MASKED, OTHER_COLOUR, STATE_COLOURS
 
 
+def _part(part) -> Column:
+    """A part of a hashed text: separators escaped and nulls marked, so that different parts never give the same text."""
+    if not isinstance(part, Column):
+        return F.lit(str(part))
+    escaped = F.replace(F.replace(part.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(escaped, F.lit("\\N"))
+
+
 def _text(*parts) -> Column:
-    return F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.concat_ws(":", *[_part(p) for p in parts])
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` repeats it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def hash_text(*parts) -> Column:
@@ -106,17 +119,25 @@ def argmax(scores: Column) -> Column:
 def clip_normalise(scores: Column, low: float = 1e-12) -> Column:
     """Scores clipped from below and divided by their sum."""
     clipped = F.transform(scores, lambda v: F.greatest(v, F.lit(low)))
-    return F.transform(clipped, lambda v: v / total(clipped))
+    return _once(clipped, _shares)
+
+
+def _shares(values: Column) -> Column:
+    return _once(total(values), lambda t: F.transform(values, lambda v: v / t))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    powers = F.transform(logits, lambda v: F.exp((v - F.array_max(logits)) / temperature))
-    return F.transform(powers, lambda v: v / total(powers))
+    powers = _once(F.array_max(logits), lambda m: F.transform(logits, lambda v: F.exp((v - m) / temperature)))
+    return _once(powers, _shares)
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
-    shifted = F.transform(logits, lambda v: (v - F.array_max(logits)) / temperature)
-    return F.transform(shifted, lambda v: v - F.ln(total(F.transform(shifted, F.exp))))
+    shifted = _once(F.array_max(logits), lambda m: F.transform(logits, lambda v: (v - m) / temperature))
+
+    def less(values: Column) -> Column:
+        return _once(F.ln(total(F.transform(values, F.exp))), lambda t: F.transform(values, lambda v: v - t))
+
+    return _once(shifted, less)
 
 
 def soft_divergence(target: Column, log_scores: Column) -> Column:

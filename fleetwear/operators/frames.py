@@ -151,11 +151,12 @@ def words(text: Column) -> Column:
 def embed_text(df: DataFrame, key: Sequence[str], text: str, dim: int = 16, max_tokens: int | None = None) -> DataFrame:
     """``key, embedding``: the mean vector of a row's word tokens; a row without tokens gets zeros.
 
-    The tokens of a row are summed in the task that split them, so one row per text is shuffled. Whole texts by
-    default; ``max_tokens`` stands for the token limit of an embedding model.
+    Whole texts by default; ``max_tokens`` stands for the token limit of an embedding model.
     """
     tokens = words(F.col(text)) if max_tokens is None else F.slice(words(F.col(text)), 1, max_tokens)
-    rows, values = with_token_values(df.select(*key, F.explode_outer(tokens).alias("_t")), "_t", dim)
+    # Texts are dealt out by key before they become many rows each; the sums then need no further shuffle.
+    dealt = df.select(*key, text).repartition(*key)
+    rows, values = with_token_values(dealt.select(*key, F.explode_outer(tokens).alias("_t")), "_t", dim)
     live = [F.when(F.col("_t").isNotNull(), v).otherwise(0.0) for v in values]
     sums = rows.groupBy(*key).agg(*[F.sum(v).alias(f"_s{d}") for d, v in enumerate(live)], F.count("_t").alias("_n"))
     count = F.greatest("_n", F.lit(1))

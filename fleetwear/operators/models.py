@@ -19,7 +19,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwear.functions.columns import clip_normalise
+from fleetwear.functions.columns import clip_normalise, softmax
 
 CLASSES = 4
 BOOSTED = {"maxDepth": 6, "subsamplingRate": 0.9, "maxIter": 20, "stepSize": 0.1}
@@ -140,14 +140,20 @@ def teacher_scores(model: PipelineModel, df: DataFrame, key: Sequence[str]) -> t
     return scored.select(*key, vector_to_array(column).alias("scores")), not network
 
 
-def fit_student(df: DataFrame, alpha: float = 0.5, params: dict | None = None) -> PipelineModel:
+def fit_student(
+    df: DataFrame, alpha: float = 0.5, params: dict | None = None, is_prob: bool = True, temperature: float = 1.0
+) -> PipelineModel:
     """Multinomial logistic student of hard and soft labels; ``df`` has ``label, scores, features``.
 
+    Scores of a teacher that gives logits (``is_prob`` false) go through a softmax at ``temperature`` first.
     Each row becomes one row per class with weight ``(1 - alpha) [label] + alpha * scores``, which is the
     distillation objective at student temperature 1; ``metrics.distill_loss`` reports it at any temperature.
     """
     weight = F.when(F.col("label") == F.col("_c"), 1 - alpha).otherwise(0.0) + alpha * F.col("_p")
-    rows = df.select("features", "label", F.posexplode("scores").alias("_c", "_p"))
+    scores = F.col("scores") if is_prob else softmax(F.col("scores"), temperature)
+    if df.select(F.exists(scores, lambda s: (s < 0) | s.isNull()).alias("bad")).filter("bad").take(1):
+        raise ValueError("scores are not probabilities; pass is_prob=False for logits")
+    rows = df.select("features", "label", F.posexplode(scores).alias("_c", "_p"))
     rows = rows.select("features", F.col("_c").alias("label"), weight.alias("weight")).filter("weight > 0")
     student = LogisticRegression(family="multinomial", weightCol="weight", **(params or {}))
     return PipelineModel(stages=[student.fit(as_ml(rows))])

@@ -59,14 +59,14 @@ def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk:
         return df.withColumn("i", F.row_number().over(w) - 1).withColumn(
             "n", F.count(F.lit(1)).over(_whole(key)).cast("int")
         )
-    # A range shuffle on key and order splits a long series over many tasks. The stored row id is
-    # (task, position in task), so the offset of each task's piece turns it into a position in the series.
+    # A range shuffle on key and order splits a long series over many tasks. Row ids rise by one inside a task, so
+    # the offset of each task's piece turns them into positions in the series.
     ranged = (
         df.repartitionByRange(*key, *order)
         .sortWithinPartitions(*key, *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumns({"_pos": F.monotonically_increasing_id(), "_task": F.spark_partition_id()})
     )
-    ranged = settle(ranged.withColumn("_task", F.shiftright("_pos", 33)), "ranged")
+    ranged = settle(ranged, "ranged")
     pieces = ranged.groupBy(*key, "_task").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = _whole(key).orderBy("_task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = settle(
@@ -275,11 +275,14 @@ def cut_phases(rows: DataFrame, edges: DataFrame, key: Sequence[str], shift: int
 
 
 def state_runs(df: DataFrame, key: Sequence[str], state: str, **limits) -> DataFrame:
-    """Maximal runs of one state: run number, state, first and last position, length. Needs ``i``."""
+    """Maximal runs of one state: run number, state, first and last position, length. Needs ``i``.
+
+    A missing state is a state of its own.
+    """
 
     def build(part: DataFrame, chunk: int) -> DataFrame:
         part = with_neighbours(part.select(*key, "i", state), key, state, "_prev", "_next", chunk)
-        change = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(state)), 1).otherwise(0)
+        change = F.when((F.col("i") == 0) | ~F.col("_prev").eqNullSafe(F.col(state)), 1).otherwise(0)
         part = with_running_sum(part.withColumn("_new", change), key, "_new", "run", chunk)
         return part.groupBy(*key, "run").agg(
             F.min_by(state, "i").alias(state),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +26,21 @@ def hash_cut(hashed: DataFrame, take: DataFrame, by: Sequence[str] = ()) -> Data
     counts = prefixed.groupBy(*by, "_p").count()
     upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_upto", F.sum("count").over(upto))
-    counts = counts.join(take, by) if by else counts.crossJoin(F.broadcast(take))  # without groups take is one row
+    counts = _match(counts, take, by) if by else counts.crossJoin(F.broadcast(take))  # without groups take is one row
     found = counts.filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("count") < F.col("take")))
     found = settle(found.select(*by, "_p", (F.col("take") - F.col("_upto") + F.col("count")).alias("_nth")), "cut")
     rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("h"))
-    inside = prefixed.join(found, [*by, "_p"]).withColumn("_rank", rank)
+    inside = _match(prefixed, found, [*by, "_p"]).withColumn("_rank", rank)
     return inside.filter(F.col("_rank") == F.col("_nth")).select(*by, F.col("h").alias("cut"))
 
 
+def _match(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by columns whose nulls are a value like any other; the columns are kept once."""
+    named = right.select(*[F.col(c).alias(f"_{c}") if c in by else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(named, same, how).drop(*[f"_{c}" for c in by])
+
+
 def ceil_share(count: Column, share: float) -> Column:
     """``ceil(share * count)``, safe against the last digit of the product."""
     return F.ceil(F.round(count * share, 9)).cast("bigint")
@@ -42,7 +49,7 @@ def ceil_share(count: Column, share: float) -> Column:
 def _mark(df: DataFrame, digest: Column, cut: DataFrame, by: Sequence[str]) -> DataFrame:
     cut = settle(cut, "cut-value")
     if by:
-        df = df.join(cut, list(by), "left")
+        df = _match(df, cut, list(by), "left")
         return df.withColumn("is_test", F.coalesce(digest <= F.col("cut"), F.lit(False))).drop("cut")
     value = cut.agg(F.max("cut")).first()[0]  # one value
     return df.withColumn("is_test", (digest <= F.lit(value)) if value is not None else F.lit(False))

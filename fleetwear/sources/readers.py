@@ -15,14 +15,14 @@ TAG_MAP_TYPE = "map<string,map<string,string>>"
 
 
 def read_sensor_text(spark: SparkSession, paths: str | Sequence[str], sensors: int = 21) -> DataFrame:
-    """Headerless blank-separated readings; ``dataset`` comes from ``train_<dataset>`` in the path.
+    """Headerless blank-separated readings; ``dataset`` comes from the last ``train_<dataset>`` in the path.
 
     Runs of blanks count as one, a missing or unreadable field becomes null.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths).select(
         F.split(F.trim(F.col("value")), r"\s+").alias("p"),
-        F.regexp_extract(F.col("_metadata.file_path"), "train_([A-Za-z]+[0-9]+)", 1).alias("dataset"),
+        F.regexp_extract(F.col("_metadata.file_path"), ".*train_([A-Za-z]+[0-9]+)", 1).alias("dataset"),
     )
     lines = lines.filter(F.element_at("p", 1) != "")
     fields = [
