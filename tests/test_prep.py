@@ -137,3 +137,24 @@ def test_student_and_nested_report(spark):
     assert models.predict(student, rows).filter("label = prediction").count() == 20
     flat = spark.createDataFrame([(0, 1, 0.5, 0.5, 0.5, 0.5)], "model_scenario int, scenario int, accuracy double, f1_score double, precision double, recall double")
     assert nested_report(flat).first()["value"].startswith('{"0":{"1":{"accuracy":0.5')
+
+
+def test_null_classes_are_split_like_any_other(spark):
+    rows = spark.createDataFrame([(k, None if k % 2 else "c") for k in range(40)], "id int, c string")
+    got = splits.stratified_split(rows, ["id"], ["c"], 0.25).filter("is_test").groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in got} == {None: 5, "c": 5}
+
+
+def test_hashed_keys_do_not_collide_by_spelling(spark):
+    rows = [(None, "x"), ("x", None), ("a:b", "c"), ("a", "b:c"), ("a\\", ":c"), ("\\N", "x")]
+    table = spark.createDataFrame(rows, "a string, b string")
+    assert table.select(C.hash_text(1, F.col("a"), F.col("b")).alias("h")).distinct().count() == len(rows)
+
+
+def test_student_of_logits(spark):
+    rows = [(float(k % 2), [float(k % 2), 1.0], [-4.0 + 3 * (k % 2), -3.0 + k % 2 * 2]) for k in range(160)]
+    table = spark.createDataFrame(rows, "label double, features array<double>, scores array<double>")
+    fitted = models.predict(models.fit_student(table, is_prob=False), table)
+    assert fitted.filter("label != prediction").count() == 0
+    with pytest.raises(ValueError):
+        models.fit_student(table)

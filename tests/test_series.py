@@ -105,3 +105,10 @@ def test_missing_constant_and_unmapped(spark):
     got = label_states(readings, tags, ["s2", "s3"]).toPandas()
     assert set(got["dataset"]) == {"A"} and set(got["tag"]) == {"u", "d"} and len(got) == 24
     assert got["state"].between(0, 3).all()
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 2, "chunk": 2}])
+def test_a_missing_state_is_a_run_of_its_own(spark, limits):
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate([None, "a", None, None, "a", "a", "b"])], "k int, i int, s string")
+    got = S.state_runs(rows, ["k"], "s", **limits).orderBy("run").collect()
+    assert [(r["s"], r["run_rows"]) for r in got] == [(None, 1), ("a", 1), (None, 2), ("a", 2), ("b", 1)]
