@@ -5,7 +5,8 @@ The driver loops over a grid of a few dozen models; every fit and every scoring
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from fleetwear.operators.splits import stratified_split, test_rows, train_rows
 from fleetwear.runtime import settle
 from fleetwear.sources.writers import save_model
 
+FITS_AT_ONCE = 4
+
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -63,6 +66,12 @@ def cross_evaluate(models: dict, scenario_rows: DataFrame) -> DataFrame:
     return flat_report(_union(counts), ["model_scenario", "scenario"])
 
 
+def _together(run: Callable, cells: Sequence) -> list:
+    """``run`` for every cell, a few at a time: small fits leave most of a cluster idle."""
+    with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+        return list(pool.map(run, cells))
+
+
 def augmentation_study(
     train: DataFrame,
     test: DataFrame,
@@ -74,15 +83,19 @@ def augmentation_study(
     **fit_options,
 ) -> DataFrame:
     """``method, multiplier, model, accuracy, f1_macro`` for every cell of the grid."""
-    results = []
-    for method in methods:
-        for m in multipliers:
-            rows = settle(oversample(train, key, "label", method, "all", m, seed=seed).select("label", "features"), "augmented")
-            for name in models:
-                preds = predict(fit(name, rows, seed=seed, **fit_options), test.select("label", "features"))
-                marked = preds.select("label", "prediction", F.lit(method).alias("method"), F.lit(m).alias("multiplier"), F.lit(name).alias("model"))
-                results.append(confusion(marked, ["method", "multiplier", "model"]))
-    cells = flat_report(_union(results), ["method", "multiplier", "model"])
+
+    def run(cell: tuple[str, int]) -> list[DataFrame]:
+        method, m = cell
+        rows = settle(oversample(train, key, "label", method, "all", m, seed=seed).select("label", "features"), "augmented")
+        results = []
+        for name in models:
+            preds = predict(fit(name, rows, seed=seed, **fit_options), test.select("label", "features"))
+            marked = preds.select("label", "prediction", F.lit(method).alias("method"), F.lit(m).alias("multiplier"), F.lit(name).alias("model"))
+            results.append(confusion(marked, ["method", "multiplier", "model"]))
+        return results
+
+    results = _together(run, [(method, m) for method in methods for m in multipliers])
+    cells = flat_report(_union([r for each in results for r in each]), ["method", "multiplier", "model"])
     return cells.select("method", "multiplier", "model", "accuracy", F.col("f1_score").alias("f1_macro"))
 
 

@@ -48,7 +48,7 @@ def perceptron(spark, sf):
     return learned(spark, sf, "mlp")
 
 
-FURTHER = {"random_forest": {"featureSubsetStrategy": "all"}, "logistic_regression": {}, "svm": {}, "gbt": {}}
+FURTHER = {"random_forest": {"featureSubsetStrategy": "all", "maxBins": 4096, "bootstrap": False}, "logistic_regression": {}, "svm": {}, "gbt": {}}
 
 
 @query(

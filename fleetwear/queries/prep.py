@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from fleetwear.functions import columns as C
@@ -19,7 +21,7 @@ from fleetwear.queries.files import (
     rounded,
     scenario_rows,
 )
-from fleetwear.queries.registry import query, sql
+from fleetwear.queries.registry import ORACLES, query, sql
 from fleetwear.queries.relational import KNN_ALL, KNN_CLASS, TOKENS, raw_and_embedding, totals
 from fleetwear.sources import writers
 
@@ -55,9 +57,9 @@ def unit_tag():
 
 
 @query("w1_index", sql("SELECT unit, i, n, y FROM series", V.SERIES))
-def index(spark, sf):
+def index(spark, sf, **limits):
     rows = V.table(spark, sf, "events").select(F.col("user_id").alias("unit"), "ts", "event_id", F.col("value").alias("y"))
-    return series.index_series(rows, ["unit"], ["ts", "event_id"]).select("unit", "i", "n", "y")
+    return series.index_series(rows, ["unit"], ["ts", "event_id"], **limits).select("unit", "i", "n", "y")
 
 
 @query(
@@ -75,13 +77,13 @@ def smooth(spark, sf):
 
 
 @query("w3_deviation", sql("SELECT unit, i, round(abs(y - avg(y) OVER (PARTITION BY unit)), 9) AS dev FROM series", V.SERIES))
-def deviation(spark, sf):
-    return series.abs_dev(V.series(spark, sf), ["unit"]).select("unit", "i", F.round("dev", 9).alias("dev"))
+def deviation(spark, sf, **limits):
+    return series.abs_dev(V.series(spark, sf), ["unit"], **limits).select("unit", "i", F.round("dev", 9).alias("dev"))
 
 
 @query("w4_knee", sql("SELECT unit, n, knee FROM knees", V.SERIES, SERIES_TAGGED, knee_sql("tagged", "unit")))
-def knee(spark, sf):
-    return series.knee(V.series(spark, sf), ["unit"], unit_tag())
+def knee(spark, sf, **limits):
+    return series.knee(V.series(spark, sf), ["unit"], unit_tag(), **limits)
 
 
 @query(
@@ -133,8 +135,13 @@ runs AS (
 
 
 @query("w7_state_runs", sql("SELECT * FROM runs", V.SERIES, RUNS))
-def state_runs(spark, sf):
-    return series.state_runs(V.series(spark, sf), ["unit"], "state")
+def state_runs(spark, sf, **limits):
+    return series.state_runs(V.series(spark, sf), ["unit"], "state", **limits)
+
+
+# The same queries with every series of more than 40 rows taken for a long one, so that chunks meet the same SQL.
+for _name, _build in (("w1_index", index), ("w3_deviation", deviation), ("w4_knee", knee), ("w7_state_runs", state_runs)):
+    query(f"{_name}_chunked", ORACLES[_name])(partial(_build, max_rows=40, chunk=16))
 
 
 @query("w8_importance_rank", sql("SELECT feature, place FROM mask_order", V.READINGS, IMPORTANCE))
