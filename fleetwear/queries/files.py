@@ -345,6 +345,33 @@ def manifest(spark, sf):
     return spark.read.schema(runs.schema).parquet(path)
 
 
+@query(
+    "k7_run_settings",
+    """SELECT concat('{"events": ', count(*), ', "users": ', count(DISTINCT user_id), '}') AS params, true AS named FROM events""",
+)
+def run_settings(spark, sf):
+    """A manifest row with the settings of a run, appended to a table of runs and read back."""
+    events = V.table(spark, sf, "events")
+    counts = events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users")).first().asDict()
+    path = scratch_path(spark, "manifests")
+    rows = reports.run_manifest(spark, counts, ["RAW_RAW", "xgboost", "RAW"])
+    writers.write_table(rows, path, mode="append")
+    return spark.read.schema(rows.schema).parquet(path).select("params", F.col("run").rlike("^RAW_RAW_xgboost_RAW_[0-9]{8}_[0-9]{6}$").alias("named"))
+
+
+@query(
+    "s5_read_json_arrays",
+    sql(f"SELECT 1 AS model_scenario, scenario, {ROUND_FLAT} FROM flat", V.PREDICTIONS, REPORT_SQL),
+)
+def read_json_arrays(spark, sf):
+    """Reports as files that hold one array of records each."""
+    path = scratch_path(spark, "arrays")
+    report = flat(spark, sf).select(F.lit(1).alias("model_scenario"), "*")
+    lines = report.groupBy("model_scenario").agg(F.to_json(F.collect_list(F.struct(*report.columns))).alias("value"))
+    writers.write_table(lines.select("value").coalesce(1), path, "text")
+    return rounded(readers.read_json(spark, path, report.schema), *FLAT)
+
+
 @query(
     "k8_save_model",
     "SELECT CAST(label % 4 AS INTEGER) AS label, CAST(label % 4 AS INTEGER) AS prediction, count(*) AS rows FROM embeddings GROUP BY ALL",

@@ -79,6 +79,18 @@ def round_floats(spark, sf):
     return frames.round_floats(rows, 0)
 
 
+@query(
+    "p4_round_floats_5",
+    "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 7, 5) AS seventh, round_even(l_extendedprice / 7, 5) AS price FROM lineitem",
+)
+def round_floats_5(spark, sf):
+    # sevenths have no short decimals, so none lies on a tie
+    rows = V.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") / 7).alias("seventh"), (F.col("l_extendedprice") / 7).alias("price")
+    )
+    return frames.round_floats(rows)
+
+
 @query("p5_columns_by_type", sql("SELECT s2, s3, s4, s7 FROM readings", V.READINGS))
 def columns_by_type(spark, sf):
     rows = V.readings(spark, sf)
@@ -256,6 +268,13 @@ def neighbours_in_all(spark, sf):
     return rounded(neighbours.knn(rows, rows, "vec_id", "features", 10), "distance")
 
 
+@query("j6_neighbours_in_class_cells", sql("SELECT vec_id, rank, neighbour, round(distance, 6) AS distance FROM near", V.VECTORS, KNN_CLASS))
+def neighbours_in_class_cells(spark, sf):
+    """The same with small blocks, so that pivots and cells are used at this size."""
+    rows = V.vectors(spark, sf)
+    return rounded(neighbours.knn(rows, rows, "vec_id", "features", 5, same="label", block_rows=64), "distance")
+
+
 @query("j7_feature_positions", sql("SELECT place, feature, position FROM mask_order", V.READINGS, IMPORTANCE))
 def feature_positions(spark, sf):
     return masking.importance_order(importance(spark, sf), V.SENSORS)
