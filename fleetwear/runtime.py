@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, from whatever folder they start; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("fleetwear")
@@ -19,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         .getOrCreate()
     )
 

@@ -10,7 +10,7 @@ from conftest import SF
 
 QUERIES, ORACLES = queries(), oracle_sql()
 # run for rows only, or slow enough to leave to the full check
-SLOW = {"d13_mix", "d11_borderline_smote", "d12_adasyn"}
+SLOW = {"d13_mix", "d11_borderline_smote", "d12_adasyn", "m12_augmentation_study"}
 
 
 @pytest.fixture(scope="module")
