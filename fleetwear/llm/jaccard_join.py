@@ -7,7 +7,7 @@
    ``a - o + m`` of one and the first ``b - o + m`` of the other, in that order, they share at least ``m``. Each class
    weighs, for every ``m`` it may use, the posting entries that its prefix would meet against the candidates these can
    yield at most (entries / m), takes the cheapest ``m``, and asks for ``m`` common shingles before a pair is verified.
-4. Large groups of near copies do not meet pair by pair: a class that shares half its prefix with one other, its star, is verified
+4. A shared shingle counts only if the two places of it leave room for enough common shingles before and after. Large groups of near copies do not meet pair by pair: a class that shares half its prefix with one other, its star, is verified
    against that one alone, and the join looks for partners outside the star. A second join then covers the classes of
    one star that verification has left in different components.
 5. Verification counts the intersection of the whole sets, which are made only for classes that are in some pair.
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.llm.components import components
 from fleetwear.llm.words import column_bytes, gram_hashes, mix, runs, words_of
 from fleetwear.runtime import settle
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 MAX_MATCHES = 6
+CHUNK = 1 << 20  # bytes of text worked on at once
 _PART = 1 << 14
 
 
@@ -61,7 +62,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 def _sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, offsets = column_bytes(batch.column(batch.num_columns - 1))
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, CHUNK):
         yield a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1], size)
 
 
@@ -90,10 +91,10 @@ def _sketch(documents: DataFrame, size: int, text_col: str) -> np.ndarray:
         sums = np.zeros(total, np.uint32)
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
-            for a, b in runs(offsets):
+            for a, b in runs(offsets, CHUNK):
                 words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1], lower=True)
                 grams = gram_hashes(words.hashes, size)
-                sums += np.bincount((grams & mask).astype(np.int64), minlength=total).astype(np.uint32)
+                np.add.at(sums, (grams & mask).astype(np.int64), np.uint32(1))
         parts = [zlib.compress(sums[k : k + _PART].tobytes(), 1) for k in range(0, total, _PART)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
@@ -113,9 +114,11 @@ def _sketch(documents: DataFrame, size: int, text_col: str) -> np.ndarray:
 
 
 def _steps(sketch: np.ndarray) -> np.ndarray:
-    """The frequency step of each counter: 0 up to what an even spread explains, then four for each doubling."""
-    usual = np.median(sketch) + 6 * np.sqrt(np.median(sketch)) + 8
-    return np.where(sketch <= usual, 0, 1 + np.floor(4 * np.log2(np.maximum(sketch, 1) / usual))).clip(0, 255).astype(np.uint8)
+    """The frequency step of each counter: in quarters of the spread above the median, then eight for each doubling."""
+    usual = np.median(sketch)
+    above = (sketch - usual) / (np.sqrt(usual) + 1)
+    fine, coarse = 1 + np.floor(4 * above), 65 + np.floor(8 * np.log2(np.maximum(above, 16) / 16))
+    return np.where(above <= 0, 0, np.where(above < 16, fine, coarse)).clip(0, 255).astype(np.uint8)
 
 
 def probe_base(n, t: int):
@@ -128,6 +131,11 @@ def index_base(n, t: int):
     return n - _ceil(2 * t * n, 100 + t)
 
 
+def needed(a: Column, b: Column, t: int) -> Column:
+    """The least common shingles of two similar sets of ``a`` and ``b``."""
+    return _ceil(t * (a + b), 100 + t)
+
+
 def _ceil(x, d: int):
     if isinstance(x, Column):
         return F.floor((x + (d - 1)) / d).cast("long")
@@ -230,17 +238,21 @@ def _candidates(rows: DataFrame, t: int, apart: str, within: str | None = None)
     priced = [F.struct((F.col(f"e{m}") * (1 + n / (10.0 * m))).alias("cost"), F.lit(m).alias("m")) for m in range(1, MAX_MATCHES + 1)]
     chosen = costs.select("key", F.array_min(F.filter(F.array(*priced), lambda x: x["m"] <= allowed))["m"].alias("m"))
     probe = rows.join(chosen, "key").filter(F.col("at") < probe_base(n, t) + F.col("m"))
-    probe = probe.select("token", *side, F.col("key").alias("a"), F.col("n").alias("n_a"), F.col(apart).alias("c_a"), "m")
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "met")]
+    probe = probe.select("token", *side, F.col("key").alias("a"), *of("a"), F.col(apart).alias("c_a"), "m")
     index = rows.filter(F.col("at") < index_base(n, t) + MAX_MATCHES).select(
         "token",
         *side,
         F.col("key").alias("b"),
-        F.col("n").alias("n_b"),
+        *of("b"),
         F.col(apart).alias("c_b"),
         (F.col("at") - index_base(n, t) + 1).alias("level"),
     )
     smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
-    near = 100 * F.col("n_b").cast("long") >= t * F.col("n_a").cast("long")
+    n_a, n_b = F.col("n_a").cast("long"), F.col("n_b").cast("long")
+    # What two sets share lies before this shingle, where only those met can be shared, at it, or after it.
+    room = F.least("met_a", "met_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    near = (100 * n_b >= t * n_a) & (room >= needed(n_a, n_b, t))
     pairs = (
         probe.join(index, ["token", *side])
         .filter(smaller & near & (F.col("c_a") != F.col("c_b")) & (F.col("level") <= F.col("m")))
@@ -260,13 +272,18 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     t = percent
     steps = _steps(_sketch(documents, size, "text"))
     prefix = _prefixes(documents, size, t, steps, "text")
-    met = prefix.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("hi")).filter("pivot != hi")
-    live = settle(prefix.join(met.select("token", "pivot"), "token").distinct(), "live")
-    # Each class first meets one other: the one that at least half of its own prefix points to.
-    counted = live.filter("key != pivot").groupBy("key", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    shared = prefix.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi")
+    live = prefix.join(shared.select("token"), "token").distinct()
+    # met: how many shingles before it in its own prefix occur in any other prefix.
+    order = Window.partitionBy("key").orderBy("at", "token")
+    live = settle(live.withColumn("met", F.row_number().over(order) - 1), "live")
+    # Each class first meets one other: the one that at least half of its own prefix points to. A shingle points to the holder with
+    # fewest shingles of its own, which in a group of near copies is the one nearest to their common origin.
+    pivots = live.groupBy("token").agg(F.min_by("key", F.struct(F.col("at") - F.col("met"), "key")).alias("pivot"))
+    counted = live.join(pivots, "token").filter("key != pivot").groupBy("key", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
     likely = counted.filter(F.col("c") * 2 >= probe_base(F.col("n").cast("long"), t))
     stars = settle(likely.groupBy("key").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("star")), "stars")
-    rows = settle(_tag(live.drop("pivot"), stars, "star"), "tagged")
+    rows = settle(_tag(live, stars, "star"), "tagged")
     first = stars.select(F.col("key").alias("a"), F.col("star").alias("b"))
     pairs = settle(first.union(_candidates(rows, t, "star")), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
