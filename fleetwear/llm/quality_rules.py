@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols, repeated lines and windows, and divergence from a language's usual histograms.
 
 Everything is a DataFrame expression. A document's characters fall into eight classes, its words into the common words of its
-language and the rest. Each language's reference is the mean histogram of its own documents that pass the counts and are
+language, one bin each, and all the rest, one bin more. Each language's reference is the mean histogram of its own documents that pass the counts and are
 long enough to be judged; a document is rejected when the Jensen-Shannon distance of either histogram to its reference is too
 large. Texts are read once; the histograms, a few numbers a document, are stored in between.
 """
@@ -103,7 +103,7 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = ordered.withColumn(
         "found", F.when(F.col("common").isNotNull(), F.filter(F.transform("words", F.lower), lambda x: x.isin(every)))
     )
-    histogram = F.transform("common", lambda c: F.size(F.filter("found", lambda x: x == c)).cast("double"))
+    counts = F.transform("common", lambda c: F.size(F.filter("found", lambda x: x == c)).cast("double"))
     return found.select(
         "id",
         "lang",
@@ -114,7 +114,7 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "n_dup_lines",
         covered(F.col("ordered")).alias("n_repeat_words"),
         F.array(*(F.col(f"c_{k}").cast("double") for k in [*CLASSES, "other"])).alias("chars"),
-        histogram.alias("commons"),
+        counts.alias("commons"),
         F.size("found").alias("n_listed"),  # a second use of the array, so that it is not recomputed inside the histogram
     )
 
@@ -141,9 +141,8 @@ def judge(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     judged_words: int = 50,
-    judged_common: int = 10,
     max_char_distance: float = 0.3,
-    max_word_distance: float = 0.8,
+    max_word_distance: float = 0.28,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -154,21 +153,18 @@ def judge(
     Spark's xxhash64 of the text, to find the row again where ids repeat.
     A null text is an empty one, a null language a language of its own; one row for each row of the input, repeated
     ids included; an empty table gives no rows; other columns are not read. Distances are null, and do not
-    count, below ``judged_words`` words or where a language has no reference; the word distance also below ``judged_common``
-    common words.
+    count, below ``judged_words`` words or where a language has no reference; the word distance also where no common words are
+    listed for the language. A text without any of the common words is judged like every other. ``max_word_distance`` lies in the
+    valley between the two heaps of word distances: around 0.1, and around 0.33 for texts with almost no common words.
     """
     found = settle(measure(documents, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = found.withColumn("base_failed", failed).withColumn("n_common", F.aggregate("commons", F.lit(0.0), lambda a, x: a + x))
+    rest = F.col("n_words") - F.aggregate("commons", F.lit(0.0), lambda a, x: a + x)
+    rows = found.withColumn("base_failed", failed).withColumn("word_bins", F.concat("commons", F.array(rest)))
     rows = rows.withColumn("p_chars", F.when(F.col("n_words") >= judged_words, _shares(F.col("chars"))))
-    rows = rows.withColumn(
-        "p_words",
-        F.when(
-            (F.col("n_words") >= judged_words) & (F.col("n_common") >= judged_common), _shares(F.col("commons"))
-        ),
-    )
+    rows = rows.withColumn("p_words", F.when(F.col("n_words") >= judged_words, _shares(F.col("word_bins"))))
     bins = len(CLASSES) + 1
-    most = max(map(len, COMMON_WORDS.values()))
+    most = max(map(len, COMMON_WORDS.values())) + 1
     means = (
         rows.filter(~F.col("base_failed"))
         .groupBy("lang")

@@ -66,6 +66,17 @@ def test_rules_reject_what_is_unlike_its_language(spark):
     assert 0 <= got[0].char_distance < got[100].char_distance <= 1
 
 
+def test_rules_reject_a_long_text_without_common_words(spark):
+    rng = random.Random(2)
+    usual = "the house of the old man is in the wood and by the lake it was quiet".split()
+    texts = [" ".join(rng.choices(usual, k=300)) for _ in range(30)]
+    strange = " ".join("".join(rng.choices("aehilnostu", k=4)) for _ in range(300))
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(100, strange, "en")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_repeat_percent=100).collect()}
+    assert all(got[k].kept for k in range(30))
+    assert not got[100].base_failed and got[100].char_distance < 0.3 and got[100].word_distance > 0.28 and not got[100].kept
+
+
 def test_rules_of_nothing(none):
     assert judge(none).count() == 0
 
