@@ -4,7 +4,8 @@ A bounded sample is halved again and again, each time along the direction betwee
 small; the parts' means are the centroids, so lists come out near equal. Every vector is then assigned: a graph over the centroids is
 searched for the nearest ones, and a vector near a boundary goes into several lists, those whose distance is within a factor of
 the best. A query searches the same graph and visits the lists within a wider factor, so it reads few lists where the
-data have clusters and many where they have none. Visits meet lists in bounded parts, heavy lists and much asked ones being
+data have clusters. Where they have none, the factor selects more lists than the search holds; such a query meets every vector once instead,
+in bounded parts as well, and so does one whose lists gave fewer than the asked number. Visits meet lists in bounded parts, heavy lists and much asked ones being
 split on both sides; each part returns a query's best, rescored in double precision on the original vectors.
 
 Only the sample, the centroids and one count a list reach the driver, all bounded by ``max_lists``.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from fleetwear.runtime import settle
 
 SAMPLE_PER_LIST = 16
+EVERY_LIST = -1  # the list of a visit that meets all vectors
+VISITS_PER_BATCH = 1 << 15
 
 
 def balanced_centroids(x: np.ndarray, lists: int) -> np.ndarray:
@@ -116,7 +119,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _visits(rows: DataFrame, graph, beam: int, factor: float, most: int | None) -> DataFrame:
-    """``id, v, list``: a row for each list within ``factor`` of a vector's nearest centroid, ``most`` at most."""
+    """``id, v, list``: a row for each list within ``factor`` of a vector's nearest centroid, ``most`` at most.
+
+    Without ``most``, a vector whose last list in the beam is still within ``factor`` gives one row with ``EVERY_LIST``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = graph.value
@@ -128,9 +134,15 @@ def _visits(rows: DataFrame, graph, beam: int, factor: float, most: int | None)
                 keep = distance <= factor * distance[:, :1] + 1e-6
                 if most is not None:
                     keep[:, most:] = False
+                elif order.shape[1] < len(found.centroids):
+                    wide = keep[:, -1] | np.isinf(distance[:, -1])
+                    keep[wide, 1:] = False
+                    order[wide, 0] = EVERY_LIST
                 of, k = np.nonzero(keep)
-                taken = part.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(order[of, k].astype(np.int32))], names=["id", "v", "list"])
+                for b in range(0, len(of), VISITS_PER_BATCH):
+                    f, l = of[b : b + VISITS_PER_BATCH], k[b : b + VISITS_PER_BATCH]
+                    taken = part.take(pa.array(f))
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(order[f, l].astype(np.int32))], names=["id", "v", "list"])
 
     return rows.select("id", "v").mapInArrow(work, "id long, v array<double>, list int")
 
@@ -166,6 +178,27 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (y * x).sum(1) / np.sqrt((x * x).sum() * (y * y).sum(1))
 
 
+def _meet(queries: DataFrame, held: DataFrame, k: int, part_rows: int) -> DataFrame:
+    """``query_id, vec_id, score``: at least the best ``k`` of each query over the lists it visits, both ``id, v, list``."""
+    weights = held.groupBy("list").count().withColumnRenamed("count", "rows").join(
+        queries.groupBy("list").count().withColumnRenamed("count", "asks"), "list"
+    )
+    pieces = settle(
+        weights.select(
+            "list", F.ceil(F.col("rows") / part_rows).cast("int").alias("parts"), F.ceil(F.col("asks") / part_rows).cast("int").alias("turns")
+        ),
+        "pieces",
+    )
+    turns = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = queries.join(F.broadcast(pieces), "list").select("id", "v", "list", parts.alias("part"), F.pmod(F.xxhash64("id"), "turns").alias("turn"))
+    right = held.join(F.broadcast(pieces), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"), turns.alias("turn"))
+    keys = ["list", "part", "turn"]
+    left, right = (d.select("id", "v", "list", F.col("part").cast("int").alias("part"), F.col("turn").cast("int").alias("turn")) for d in (left, right))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 5,
@@ -184,7 +217,8 @@ def nearest(
 
     Returns ``query_id, rank, vec_id, score``: nearest first, ties to the smaller id, the score the cosine in double precision on the
     original vectors. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-    do rows without an id; rows that repeat an id count once. With fewer than ``k`` candidates all are returned. The centroids are fitted
+    do rows without an id; rows that repeat an id count once. With fewer than ``k`` other vectors all are returned. ``beam`` bounds the
+    lists that are visited one by one, not what a query meets: where the ratio ``visit`` selects more of them, all vectors are scanned for it. The centroids are fitted
     on at most ``16 * max_lists`` vectors, those with the smallest hashes of their ids; every vector is indexed.
     """
     spark = vectors.sparkSession
@@ -200,22 +234,12 @@ def nearest(
     shared = spark.sparkContext.broadcast(graph)  # max_lists centroids at most
     held = settle(_visits(rows, shared, max(32, 2 * copies), boundary, copies), "postings")
     queries = settle(_visits(rows.filter(F.col("id") % every == 0), shared, beam, visit, None), "visits")
-    weights = held.groupBy("list").count().withColumnRenamed("count", "rows").join(
-        queries.groupBy("list").count().withColumnRenamed("count", "asks"), "list"
-    )
-    pieces = settle(
-        weights.select(
-            "list", F.ceil(F.col("rows") / part_rows).cast("int").alias("parts"), F.ceil(F.col("asks") / part_rows).cast("int").alias("turns")
-        ),
-        "pieces",
-    )
-    turns = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
-    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = queries.join(F.broadcast(pieces), "list").select("id", "v", "list", parts.alias("part"), F.pmod(F.xxhash64("id"), "turns").alias("turn"))
-    right = held.join(F.broadcast(pieces), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"), turns.alias("turn"))
-    keys = ["list", "part", "turn"]
-    left, right = (d.select("id", "v", "list", F.col("part").cast("int").alias("part"), F.col("turn").cast("int").alias("turn")) for d in (left, right))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    held = held.union(rows.select("id", "v", F.lit(EVERY_LIST).alias("list")))
+    once = settle(_meet(queries, held, k, part_rows), "found")
+    enough = once.groupBy("query_id").count().filter(F.col("count") >= k)
+    asked = rows.filter(F.col("id") % every == 0)
+    short = settle(asked.join(enough, asked["id"] == enough["query_id"], "left_anti").select("id", "v", F.lit(EVERY_LIST).alias("list")), "short")
+    if lists > 1 and short.take(1):
+        once = once.union(_meet(short, held, k, part_rows)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

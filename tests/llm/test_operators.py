@@ -218,6 +218,25 @@ def test_neighbours_reach_recall(spark):
     assert posting_lists.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_without_clusters_are_not_cut_at_the_beam(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = posting_lists.nearest(table, list_rows=10, beam=8, visit=2.0).toPandas()  # the ratio selects every list
+    assert got["query_id"].nunique() == 30
+    for q, part in got.groupby("query_id"):
+        scores = posting_lists.cosine(x[q], x)
+        scores[q] = -9
+        assert list(part.sort_values("rank")["vec_id"]) == list(np.lexsort((np.arange(1500), -scores))[:5])
+
+
+def test_neighbours_of_short_lists_are_as_many_as_asked(spark):
+    x = np.repeat(np.eye(32), 2, axis=0)  # a list holds two vectors; no other lies within the ratio
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = posting_lists.nearest(table, every=1, list_rows=2).toPandas()
+    assert got["query_id"].nunique() == 64 and all(sorted(r) == [1, 2, 3, 4, 5] for _, r in got.groupby("query_id")["rank"])
+    assert (got.loc[got["rank"] == 1].set_index("query_id")["vec_id"] == [k ^ 1 for k in range(64)]).all()
+
+
 def test_centroids_are_balanced():
     x = np.random.default_rng(0).normal(size=(1000, 8))
     c = posting_lists.balanced_centroids(x / np.linalg.norm(x, axis=1)[:, None], 16)
