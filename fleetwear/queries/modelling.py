@@ -125,21 +125,17 @@ def scenario_sets(spark, sf, datasets=None):
     return train, test, masking.scenarios(train, key, 4), masking.scenarios(test, key, 4)
 
 
-STUDY_TREES = {"maxIter": 2, "maxDepth": 2}  # the classes part at one cut each; 32 fits of more rounds say no more
-FOREST = {"numTrees": 5, "maxDepth": 4}
-
-
 @query("m10_train_scenarios")
 def train_scenarios(spark, sf):
     _, _, train, valid = scenario_sets(spark, sf)
-    _, report = grids.train_scenarios("random_forest", train, valid, range(4), params=FOREST)
+    _, report = grids.train_scenarios("random_forest", train, valid, range(4))
     return rounded(report, "precision", "recall", "f1")
 
 
 @query("m11_cross_evaluate")
 def cross_evaluate(spark, sf):
     train_rows, test_rows, train, valid = scenario_sets(spark, sf)
-    trained, _ = grids.train_scenarios("random_forest", train, valid, range(4), params=FOREST)
+    trained, _ = grids.train_scenarios("random_forest", train, valid, range(4))
     order = masking.importance_order(models.feature_importance(trained[0], V.SENSORS), V.SENSORS)
     tests = settle(masking.scenarios(test_rows, [*READING_KEY, "tag"], 4, "importance", order), "masked-tests")
     return rounded(grids.cross_evaluate(trained, tests), "accuracy", "f1_score", "precision", "recall")
@@ -154,7 +150,7 @@ CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS multiplier) b CROSS JOIN (SELECT unn
 def augmentation_study(spark, sf):
     """The whole grid: four methods, four multipliers, both boosted models."""
     train, test = split_vectors(spark, sf)
-    cells = grids.augmentation_study(train, test, "vec_id", params=STUDY_TREES)
+    cells = grids.augmentation_study(train, test, "vec_id")
     return rounded(cells, "accuracy", "f1_macro")
 
 
@@ -166,7 +162,7 @@ FROM (SELECT unnest(['no_smote', 'smote']) AS setting) a CROSS JOIN (SELECT unne
 def smote_study(spark, sf):
     rows = four_classes(spark, sf)
     rows = rows.select("vec_id", "label", *[F.col("features")[i].alias(n) for i, n in enumerate(NAMES)])
-    cells = grids.smote_study(rows, "vec_id", NAMES, params=STUDY_TREES)
+    cells = grids.smote_study(rows, "vec_id", NAMES)
     return rounded(cells, "accuracy", "macro_f1")
 
 
