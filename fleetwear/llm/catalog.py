@@ -15,6 +15,7 @@ from fleetwear.llm.posting_lists import nearest
 from fleetwear.llm.quality_model import classify, train
 from fleetwear.llm.quality_rules import judge
 from fleetwear.llm.repeats import remove_repeats
+from fleetwear.llm.token_alignment import align_texts
 from fleetwear.llm.url_rules import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +98,10 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the listed rules and the rules mined from the labels."""
     return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of tokens of two tokenizers, with the corpus-wide counts of the linked id pairs."""
+    documents = table(spark, sf_dir, "documents")
+    return align_texts(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
