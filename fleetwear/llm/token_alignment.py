@@ -9,7 +9,7 @@ blank after a visible ASCII character, where neither tokenizer has a token acros
 
 A text of at most ``long_bytes`` is one range, worked on in array passes over a run of many texts.
 
-Links are counted in two steps. Every block of texts, about 2 MB, lists its distinct id pairs with the number of its texts
+Links are counted in two steps. Every block of texts, about half a MB, lists its distinct id pairs with the number of its texts
 that hold them; these lists are summed, and the sums go back to the blocks that asked. No row is sent for a single
 text's pair, and nothing but vocabularies is held by every task. A pair that every block asks for is one row a block,
 on the side of the join that Spark splits when it is skewed.
@@ -36,6 +36,7 @@ from fleetwear.llm.words import column_bytes, runs
 from fleetwear.runtime import settle
 
 LONG_BYTES = 1 << 16
+BLOCK_BYTES = 1 << 19  # texts worked on at once; array passes take about a hundred bytes for each of theirs
 FAN = 16
 _FOREIGN = 0xFFFF  # stands for a piece whose tokens do not give its bytes back
 _SHIFT = np.int64(20)  # bits of an id within a pair
@@ -153,7 +154,13 @@ def compose(left: Fragment, right: Fragment) -> tuple[Fragment, Group | None]:
 
 
 def common_ends(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
-    return np.intersect1d(end_a, end_b, assume_unique=False)
+    """The offsets in both; each side's are in order and differ."""
+    if not len(end_a) or not len(end_b):
+        return end_a[:0]
+    low = min(end_a[0], end_b[0])
+    ends = np.zeros(int(max(end_a[-1], end_b[-1]) - low) + 1, bool)
+    ends[end_a - low] = True
+    return end_b[ends[end_b - low]]
 
 
 def range_fragment(ids_a, end_a, ids_b, end_b, at: int) -> tuple[Fragment, tuple[np.ndarray, ...]]:
@@ -221,7 +228,7 @@ def _short(documents: DataFrame, path_a: str, path_b: str, kind: str, digest: bo
         aligner, block = ready(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            for a, b in runs(offsets):
+            for a, b in runs(offsets, BLOCK_BYTES):
                 yield _block(aligner, block, batch.column(0).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], digest)
                 block += 1
 
