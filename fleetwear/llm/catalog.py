@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetwear.llm import toxicity
 from fleetwear.llm.bpe import encode_texts
 from fleetwear.llm.jaccard_join import near_duplicates
 from fleetwear.llm.katz import score_texts
@@ -105,3 +106,10 @@ def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's groups of tokens of two tokenizers, with the corpus-wide counts of the linked id pairs."""
     documents = table(spark, sf_dir, "documents")
     return align_texts(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
+@query
+def op13_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score by a factorization machine learned from the labels outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.classify(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
