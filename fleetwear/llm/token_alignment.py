@@ -9,7 +9,7 @@ blank after a visible ASCII character, where neither tokenizer has a token acros
 
 A text of at most ``long_bytes`` is one range, worked on in array passes over a run of many texts.
 
-Links are counted in two steps. Every block of texts, about half a MB, lists its distinct id pairs with the number of its texts
+Links are counted in two steps. Every block of texts, about 0.4 MB, lists its distinct id pairs with the number of its texts
 that hold them; these lists are summed, and the sums go back to the blocks that asked. No row is sent for a single
 text's pair, and nothing but vocabularies is held by every task. A pair that every block asks for is one row a block,
 on the side of the join that Spark splits when it is skewed.
@@ -36,7 +36,8 @@ from fleetwear.llm.words import column_bytes, runs
 from fleetwear.runtime import settle
 
 LONG_BYTES = 1 << 16
-BLOCK_BYTES = 1 << 19  # texts worked on at once; array passes take about a hundred bytes for each of theirs
+BLOCK_BYTES = 3 << 17  # texts worked on at once; array passes take about a hundred bytes for each of theirs
+STORE = {"bits": 19, "pool": 2_000_000}  # a task holds two stores of pieces
 FAN = 16
 _FOREIGN = 0xFFFF  # stands for a piece whose tokens do not give its bytes back
 _SHIFT = np.int64(20)  # bits of an id within a pair
@@ -48,7 +49,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         codec = RankCodec(path_a)
-        self.a = PieceStore(codec.encode_words)
+        self.a = PieceStore(codec.encode_words, **STORE)
         with open(path_a, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.size_a = np.zeros(_FOREIGN + 1, np.int64)
@@ -61,7 +62,7 @@ class Aligner:
         # A blank after another character begins a token unless a piece of the vocabulary goes over both.
         self.blank_cuts = not any(b" " in p.lstrip(b" ") for p in self.bytes_b)
         self.lone_blank = self.pieces.encode("a ")[len(self.pieces.encode("a")) :]
-        self.b = PieceStore(self._encode_b)
+        self.b = PieceStore(self._encode_b, **STORE)
         self.decimal = [str(i) for i in range(_FOREIGN + 1)]
         self.spelled = [[d + mark for d in self.decimal] for mark in ",|;"]
 
