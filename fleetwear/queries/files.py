@@ -202,10 +202,10 @@ def four_classes(spark, sf):
     """Vectors folded to four classes, each moved 20 along its own dimension.
 
     The classes lie apart by a wide margin, so that every right learner gives back the label of every row and SQL can
-    state what it predicts.
+    state what it predicts. The four dimensions are rounded to hundredths: they then have fewer values than a tree learner has bins.
     """
     label = F.col("label") % 4
-    moved = F.transform("features", lambda v, i: v + F.when(i == label, 20.0).otherwise(0.0))
+    moved = F.transform("features", lambda v, i: F.when(i < 4, F.round(v, 2)).otherwise(v) + F.when(i == label, 20.0).otherwise(0.0))
     return V.vectors(spark, sf).select("vec_id", moved.alias("features"), label.alias("label"))
 
 
