@@ -8,8 +8,9 @@
    weighs, for every ``m`` it may use, the posting entries that its prefix would meet against the candidates these can
    yield at most (entries / m), takes the cheapest ``m``, and asks for ``m`` common shingles before a pair is verified.
 4. A shared shingle counts only if the two places of it leave room for enough common shingles before and after. Large groups of near copies do not meet pair by pair: a class that shares half its prefix with one other, its star, is verified
-   against that one alone, and the join looks for partners outside the star. A second join then covers the classes of
-   one star that verification has left in different components.
+   against that one alone, and the join looks for partners outside the star. Classes of one star that verification leaves in
+   different components then take turns: each is verified against the few classes of other components that lack most of the same
+   shingles of the star, as long as that joins any. A second join covers the classes that are still apart.
 5. Verification counts the intersection of the whole sets, which are made only for classes that are in some pair.
 """
 
@@ -30,6 +31,8 @@ from fleetwear.runtime import settle
 
 SKETCH_BITS = 22
 MAX_MATCHES = 6
+MAX_TURNS = 8  # rounds of tests inside stars; the join after them finds what they have not
+TESTS = 3  # classes that a class is verified against in a round
 CHUNK = 1 << 20  # bytes of text worked on at once
 _PART = 1 << 14
 
@@ -298,10 +301,74 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     found = settle(_verify(pairs, sets, t), "links")
     # Classes of one star that are still apart have not met each other yet.
     parted = settle(components(found, "a", "b"), "groups").select(F.col("node").alias("key"), "component")
+    lacks = settle(_lacking(_apart(stars, parted), sets), "lacking")
+    for turn in range(MAX_TURNS):
+        met = settle(_verify(_partners(_tag(lacks, parted, "component"), turn), sets, t), "links")
+        if met.isEmpty():
+            break
+        found = found.union(met)
+        parted = settle(_merged(parted, met), "groups")
     rest = _candidates(_tag(rows, parted, "component"), t, "component", "star")
     return found.union(settle(_verify(rest, sets, t), "links"))
 
 
+def _apart(stars: DataFrame, parted: DataFrame) -> DataFrame:
+    """The rows of stars whose classes lie in several components."""
+    rows = _tag(stars, parted, "component")
+    centre = parted.select(F.col("key").alias("star"), F.col("component").alias("main"))
+    open_ = rows.join(centre, "star", "left").filter(F.col("main").isNull() | (F.col("main") != F.col("component")))
+    return stars.join(open_.select("star").distinct(), "star")
+
+
+def _lacking(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, star, token, lacks``: the shingles of its star that each class lacks, and how many these are.
+
+    Near copies lie close when they have left the same places of their origin.
+    """
+    one = sets.select("key", F.col("shingles").alias("x"))
+    two = sets.select(F.col("key").alias("star"), F.col("shingles").alias("y"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, star, x, y in zip(*batch.columns, strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                gone = np.setdiff1d(q, p, assume_unique=True).view(np.int64)
+                same = [np.full(len(gone), v, np.int64) for v in (key.as_py(), star.as_py(), len(gone))]
+                yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1]), pa.array(gone), pa.array(same[2])], names=["key", "star", "token", "lacks"])
+
+    joined = stars.select("key", "star").join(one, "key").join(two, "star").select("key", "star", "x", "y")
+    return joined.mapInArrow(work, "key long, star long, token long, lacks long")
+
+
+def _partners(rows: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: for every class of a star the few classes of other components that most likely lie near it.
+
+    A shingle of the star points to two classes that lack it and little else, of different components; ``turn`` changes
+    which. A class meets the ``TESTS`` that share most of what it lacks and lack least beside. Rows and tests grow with the classes,
+    whatever the size of a star.
+    """
+    side, first = ["star", "token"], F.struct("lacks", F.xxhash64("key", F.lit(turn)), "key")
+    one = rows.groupBy(*side).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("key", "component", "lacks"), first).alias("one"))
+    rows = settle(rows.join(one.filter("lo != hi").select(*side, "one"), side), "open")
+    two = rows.filter("component != one.component").groupBy(*side).agg(F.min_by(F.struct("key", "component", "lacks"), first).alias("two"))
+    chosen = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
+    pointed = rows.join(two, side).select(F.col("key").alias("a"), chosen.alias("p")).groupBy("a", F.col("p.key").alias("b")).agg(
+        (F.count(F.lit(1)) - F.first("p.lacks")).alias("near")
+    )
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
+    return settle(pointed.withColumn("place", place).filter(F.col("place") <= TESTS).select("a", "b"), "partners")
+
+
+def _merged(parted: DataFrame, met: DataFrame) -> DataFrame:
+    """``key, component`` after further links, which are followed between components only."""
+    of = lambda x: parted.select(F.col("key").alias(x), F.col("component").alias(f"{x}_in"))
+    ends = met.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    own = [F.coalesce(f"{x}_in", x).alias(f"{x}_in") for x in ("a", "b")]
+    grown = settle(components(ends.select(*own), "a_in", "b_in"), "groups").select("node", F.col("component").alias("now"))
+    every = parted.union(met.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(parted, "key", "left_anti").select("key", F.col("key").alias("component")))
+    return every.join(grown, F.col("component") == F.col("node"), "left").select("key", F.coalesce("now", "component").alias("component"))
+
+
 def near_duplicates(
     documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
