@@ -5,7 +5,7 @@ The driver loops over a grid of a few dozen models; every fit and every scoring
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetwear.operators.masking import stack
 from fleetwear.operators.metrics import class_report, confusion, flat_report
-from fleetwear.operators.models import fit, predict
+from fleetwear.operators.models import BOOSTERS, booster, fit, fit_together, predict
 from fleetwear.operators.oversample import oversample
 from fleetwear.operators.scaling import minmax_apply, minmax_fit
 from fleetwear.operators.splits import stratified_split, test_rows, train_rows
@@ -72,6 +72,24 @@ def _together(run: Callable, cells: Sequence) -> list:
         return list(pool.map(run, cells))
 
 
+def _judged(sets: Mapping[tuple, DataFrame], names: Sequence[str], test: DataFrame, by: Sequence[str], seed: int, params: dict | None = None, width: int | None = None) -> DataFrame:
+    """The flat report of every model on every training set; ``by`` names the parts of a set's key.
+
+    The boosters of all sets are grown together, by the same jobs; other models are fitted one after another.
+    """
+    width = width or test.agg(F.max(F.size("features"))).first()[0] or 1
+    cells = list(enumerate((key, name) for key in sets for name in names))
+    together = {i: (key, name) for i, (key, name) in cells if name in BOOSTERS}
+    fitted = fit_together({i: sets[key] for i, (key, _) in together.items()}, {i: booster(name, params, seed=seed) for i, (_, name) in together.items()}, width) if together else {}
+    parts = []
+    for i, (key, name) in cells:
+        model = fitted[i] if i in fitted else fit(name, sets[key], params=params, width=width, seed=seed)
+        marks = [F.lit(v).alias(c) for c, v in zip(by, key, strict=True)]
+        preds = predict(model, test.select("label", "features")).select("label", "prediction", *marks, F.lit(name).alias("model"))
+        parts.append(confusion(preds, [*by, "model"]))
+    return flat_report(_union(parts), [*by, "model"])
+
+
 def augmentation_study(
     train: DataFrame,
     test: DataFrame,
@@ -80,23 +98,18 @@ def augmentation_study(
     methods: Sequence[str] = ("smote", "adasyn", "borderline", "mix"),
     multipliers: Sequence[int] = (1, 3, 5, 10),
     seed: int = 42,
-    **fit_options,
+    params: dict | None = None,
 ) -> DataFrame:
     """``method, multiplier, model, accuracy, f1_macro`` for every cell of the grid."""
 
-    def run(cell: tuple[str, int]) -> list[DataFrame]:
+    def rows(cell: tuple[str, int]) -> DataFrame:
         method, m = cell
-        rows = settle(oversample(train, key, "label", method, "all", m, seed=seed).select("label", "features"), "augmented")
-        results = []
-        for name in models:
-            preds = predict(fit(name, rows, seed=seed, **fit_options), test.select("label", "features"))
-            marked = preds.select("label", "prediction", F.lit(method).alias("method"), F.lit(m).alias("multiplier"), F.lit(name).alias("model"))
-            results.append(confusion(marked, ["method", "multiplier", "model"]))
-        return results
+        return settle(oversample(train, key, "label", method, "all", m, seed=seed).select("label", "features"), "augmented")
 
-    results = _together(run, [(method, m) for method in methods for m in multipliers])
-    cells = flat_report(_union([r for each in results for r in each]), ["method", "multiplier", "model"])
-    return cells.select("method", "multiplier", "model", "accuracy", F.col("f1_score").alias("f1_macro"))
+    cells = [(method, m) for method in methods for m in multipliers]
+    sets = dict(zip(cells, _together(rows, cells), strict=True))
+    found = _judged(sets, models, test, ["method", "multiplier"], seed, params)
+    return found.select("method", "multiplier", "model", "accuracy", F.col("f1_score").alias("f1_macro"))
 
 
 def smote_study(
@@ -108,7 +121,7 @@ def smote_study(
     test: float = 0.25,
     seed: int = 42,
     fit_scaling_on_train: bool = True,
-    **fit_options,
+    params: dict | None = None,
 ) -> DataFrame:
     """``setting, model, accuracy, macro_f1`` with and without SMOTE on a stratified split.
 
@@ -123,11 +136,6 @@ def smote_study(
         "no_smote": train.select("label", "features"),
         "smote": oversample(train, key, "label", "smote", "not_majority", seed=seed).select("label", "features"),
     }
-    results = []
-    for setting, rows in settings.items():
-        rows = settle(rows, setting)
-        for name in models:
-            preds = predict(fit(name, rows, width=len(features), seed=seed, **fit_options), held.select("label", "features"))
-            results.append(confusion(preds.select("label", "prediction", F.lit(setting).alias("setting"), F.lit(name).alias("model")), ["setting", "model"]))
-    cells = flat_report(_union(results), ["setting", "model"])
-    return cells.select("setting", "model", "accuracy", F.col("f1_score").alias("macro_f1"))
+    sets = {(setting,): settle(rows, setting) for setting, rows in settings.items()}
+    found = _judged(sets, models, held, ["setting"], seed, params, len(features))
+    return found.select("setting", "model", "accuracy", F.col("f1_score").alias("macro_f1"))
