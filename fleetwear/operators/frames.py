@@ -100,20 +100,22 @@ def rows_to_json(df: DataFrame, cols: Sequence[str], name: str = "text") -> Data
     return df.withColumn(name, row_json(cols))
 
 
-def pool_tokens(tokens: DataFrame, key: Sequence[str], max_tokens: int | None = None) -> DataFrame:
+def pool_tokens(tokens: DataFrame, key: Sequence[str], max_tokens: int | None = None, dim: int | None = None) -> DataFrame:
     """Mean vector of a row's unmasked tokens: ``key, dim, value``; ``max_tokens`` keeps positions below it.
 
-    ``tokens`` has ``key, pos, mask, vector``. Rows without such a token get zeros.
+    ``tokens`` has ``key, pos, mask, vector``. Rows without such a token get zeros. Sums stay side by side, one row a text and task
+    in the shuffle; ``dim`` is the length of the vectors and is looked up when it is not given.
     """
-    live = F.col("mask") == 1
+    live = F.coalesce(F.col("mask") == 1, F.lit(False))
     if max_tokens is not None:
         live = live & (F.col("pos") < max_tokens)
-    cells = tokens.select(*key, live.alias("_live"), F.posexplode("vector").alias("dim", "_v"))
-    sums = cells.groupBy(*key, "dim").agg(
-        F.sum(F.when(F.col("_live"), F.col("_v")).otherwise(0.0)).alias("_s"),
-        F.sum(F.when(F.col("_live"), 1).otherwise(0)).alias("_n"),
-    )
-    return sums.select(*key, "dim", (F.col("_s") / F.greatest("_n", F.lit(1))).alias("value"))
+    if dim is None:
+        dim = tokens.agg(F.max(F.size("vector"))).first()[0] or 0
+    cells = [F.when(live, F.get("vector", F.lit(d))).otherwise(0.0) for d in range(dim)]
+    sums = tokens.groupBy(*key).agg(*[F.sum(c).alias(f"_s{d}") for d, c in enumerate(cells)], F.count_if(live).alias("_n"))
+    means = [F.col(f"_s{d}") / F.greatest("_n", F.lit(1)) for d in range(dim)]
+    values = F.array(*means) if means else F.array().cast("array<double>")
+    return sums.select(*key, F.posexplode(values).alias("dim", "value"))
 
 
 def with_token_values(tokens: DataFrame, token: str, dim: int) -> tuple[DataFrame, list[Column]]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetwear.functions.columns import clip_normalise, softmax
 from fleetwear.operators.boosting import LIGHTGBM, XGBOOST, Booster, fit_boosters
+from fleetwear.operators.distillation import fit_softmax_student
 
 CLASSES = 4
 # 256 bins, about what native boosting libraries use; Spark's own default of 32 puts borders between classes inside a bin
@@ -130,6 +131,21 @@ def predict(model, df: DataFrame) -> DataFrame:
     return scored.select(*keep, F.col("prediction").cast("int").alias("prediction"))
 
 
+def predict_all(models: Mapping[int, PipelineModel], df: DataFrame) -> DataFrame:
+    """``model INT``, the input columns without features, and ``prediction INT``: every model on every row.
+
+    The rows are read once; each model adds its prediction to them, and they become one row a model at the end.
+    """
+    rows = as_ml(df)
+    columns, found = rows.columns, []
+    for k, model in models.items():
+        found.append(F.struct(F.lit(k).alias("model"), F.col(f"_p{len(found)}").alias("prediction")))
+        scored = model.transform(rows)
+        rows = scored.select(*rows.columns, F.col("prediction").cast("int").alias(f"_p{len(found) - 1}"))
+    keep = [F.col(c).cast("int").alias(c) if c == "label" else F.col(c) for c in columns if c != "features"]
+    return rows.select(*keep, F.inline(F.array(*found))).select("model", *[c for c in columns if c != "features"], "prediction")
+
+
 def feature_importance(model, columns: Sequence[str]) -> DataFrame:
     """``feature, importance`` of a tree model; one-versus-rest models average their class models."""
     stage = model.stages[-1] if isinstance(model, PipelineModel) else model
@@ -172,18 +188,28 @@ def teacher_scores(model: PipelineModel, df: DataFrame, key: Sequence[str]) -> t
 
 
 def fit_student(
-    df: DataFrame, alpha: float = 0.5, params: dict | None = None, is_prob: bool = True, temperature: float = 1.0
+    df: DataFrame,
+    alpha: float = 0.5,
+    params: dict | None = None,
+    is_prob: bool = True,
+    temperature: float = 1.0,
+    student_temperature: float = 1.0,
 ) -> PipelineModel:
     """Multinomial logistic student of hard and soft labels; ``df`` has ``label, scores, features``.
 
     Scores of a teacher that gives logits (``is_prob`` false) go through a softmax at ``temperature`` first.
-    Each row becomes one row per class with weight ``(1 - alpha) [label] + alpha * scores``, which is the
-    distillation objective at student temperature 1; ``metrics.distill_loss`` reports it at any temperature.
+    At student temperature 1 each row becomes one row per class with weight ``(1 - alpha) [label] + alpha * scores``, which is the
+    distillation objective there; at any other its gradient is summed over the rows (``distillation``). ``metrics.distill_loss``
+    reports the objective.
     """
     weight = F.when(F.col("label") == F.col("_c"), 1 - alpha).otherwise(0.0) + alpha * F.col("_p")
     scores = F.col("scores") if is_prob else softmax(F.col("scores"), temperature)
     if df.select(F.exists(scores, lambda s: (s < 0) | s.isNull()).alias("bad")).filter("bad").take(1):
         raise ValueError("scores are not probabilities; pass is_prob=False for logits")
+    if student_temperature != 1.0:
+        features = F.col("features") if df.schema["features"].dataType.typeName() == "array" else vector_to_array("features")
+        rows = df.select(features.alias("features"), "label", scores.alias("scores"))
+        return PipelineModel(stages=[fit_softmax_student(rows, alpha, student_temperature, **(params or {}))])
     rows = df.select("features", "label", F.posexplode(scores).alias("_c", "_p"))
     rows = rows.select("features", F.col("_c").alias("label"), weight.alias("weight")).filter("weight > 0")
     student = LogisticRegression(family="multinomial", weightCol="weight", **(params or {}))

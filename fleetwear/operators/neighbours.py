@@ -1,95 +1,242 @@
 """Exact k nearest neighbours without forming all pairs.
 
 Equal vectors are folded first: only the k + 1 smallest ids of a vector can be among anyone's k nearest (ties go to
-the smaller id), and equal queries share one search. The rest is a pivot partition: every point belongs to its nearest
-pivot, and the triangle inequality tells which cells a query has to visit. Cells and visits are cut into blocks of
-bounded size, so a cell with a third of all rows is many tasks. A task compares two blocks with NumPy and returns
-only the best k + 1 per query.
+the smaller id), and equal queries share one search. The points of every group then form a tree: a cell of more than
+``block_rows`` points is split among ``fan`` of its own points, level by level, until it is small. The search takes two
+rounds. A query is first compared with the cell it falls into, which bounds how far its neighbours can be; then it
+walks down the tree and leaves out every cell that the bound rules out. A cell is ruled out by the ring of distances
+around its pivot or by the planes between its pivot and the others. Cells and visits are cut into blocks of bounded size, so
+work at a busy cell is many tasks, and no table of cells is held by a task or the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwear.functions.columns import hash_text
 from fleetwear.runtime import settle
 
-BLOCK_ROWS = 4096
-MAX_PIVOTS = 128
-MAX_CELLS = 100_000  # cell statistics held by a task; above it the groups themselves are the cells
+BLOCK_ROWS = 2048
+FAN = 32
+MAX_DEPTH = 12  # cells that are still large below it are searched in blocks, like any other
+CELL = ["grp", "cell"]
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"  # a cell is named by its way down the tree
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-
-
-def _batches(x: np.ndarray, y: np.ndarray):
-    """Slices of ``x`` whose difference block with ``y`` stays near 32 MB."""
-    step = max(1, 4_000_000 // max(1, y.size))
-    for start in range(0, len(x), step):
-        yield slice(start, start + step)
+    """Distances of all rows of ``x`` to the few rows of ``y``."""
+    return np.sqrt(np.stack([((x - row) ** 2).sum(axis=1) for row in y], axis=1))
 
 
-def _nearest_pivot(pivots: np.ndarray):
-    @F.pandas_udf("cell int, reach double")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, pivots.shape[1]))
-        cell, reach = np.empty(len(x), dtype="int32"), np.empty(len(x))
-        for part in _batches(x, pivots):
-            d = _distances(x[part], pivots)
-            cell[part] = d.argmin(axis=1)
-            reach[part] = d.min(axis=1)
-        return pd.DataFrame({"cell": cell, "reach": reach})
+def _nearest(x: np.ndarray, y: np.ndarray, keep: int):
+    """Per row of ``x`` the ``keep`` nearest rows of ``y``, ties to the earlier: row, place in ``y`` and distance.
 
-    return assign
-
-
-def _cells_to_visit(pivots: np.ndarray, stats: dict, need: int):
-    """Cells that may hold one of the ``need`` nearest: ``stats`` is group -> (cells, counts, inner, outer radius)."""
-
-    @F.pandas_udf("array<int>")
-    def visit(groups: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = []
-        for group, vector in zip(groups, vectors):
-            if group not in stats:
-                out.append([])
-                continue
-            cells, counts, inner, outer = stats[group]
-            d = _distances(np.asarray(vector)[None, :], pivots[cells])[0]
-            farthest = np.argsort(d + outer)
-            enough = np.searchsorted(np.cumsum(counts[farthest]), need)
-            bound = (d + outer)[farthest[enough]] if enough < len(cells) else np.inf
-            nearest = np.maximum(d - outer, inner - d)
-            out.append(cells[nearest <= bound * (1 + 1e-9) + 1e-12].tolist())
-        return pd.Series(out)
-
-    return visit
+    Products of matrices choose candidates within their rounding error; only these get exact distances.
+    """
+    middle = y.mean(axis=0)
+    xm, ym = x - middle, y - middle
+    xx, yy = (xm**2).sum(axis=1), (ym**2).sum(axis=1)
+    slack = 1e-14 * (x.shape[1] + 16)
+    rows, places, dists = [], [], []
+    step = max(1, 2_000_000 // len(y))
+    for start in range(0, len(x), step):
+        part = slice(start, start + step)
+        near = xx[part, None] + yy[None, :] - 2.0 * (xm[part] @ ym.T)
+        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + slack * (xx[part] + yy.max())
+        row, place = np.nonzero(near <= limit[:, None])
+        row += start
+        dist = np.empty(len(row))
+        for at in range(0, len(row), 50_000):
+            some = slice(at, at + 50_000)
+            dist[some] = np.sqrt(((x[row[some]] - y[place[some]]) ** 2).sum(axis=1))
+        order = np.lexsort((place, dist, row))
+        row, place, dist = row[order], place[order], dist[order]
+        first = np.searchsorted(row, row, side="left")
+        best = np.arange(len(row)) - first < keep
+        rows.append(row[best]), places.append(place[best]), dists.append(dist[best])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(dists)
 
 
 def _compare_blocks(need: int):
     def compare(asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if asks.empty or points.empty:
             return pd.DataFrame({"ask": [], "dist": [], "id": [], "tag": []})
-        points = points.sort_values("id", kind="stable")  # a stable sort by distance then breaks ties by id
+        points = points.sort_values("id", kind="stable")  # the earlier row then is the smaller id
         x, y = np.stack(asks["v"].to_numpy()), np.stack(points["v"].to_numpy())
-        ids, tags = points["id"].to_numpy(), points["tag"].to_numpy()
-        keep = min(need, len(y))
-        found, dist = np.empty((len(x), keep), dtype="int64"), np.empty((len(x), keep))
-        for part in _batches(x, y):
-            d = _distances(x[part], y)
-            found[part] = np.argsort(d, axis=1, kind="stable")[:, :keep]
-            dist[part] = np.take_along_axis(d, found[part], axis=1)
-        best = found.ravel()
+        row, place, dist = _nearest(x, y, min(need, len(y)))
         return pd.DataFrame(
-            {"ask": np.repeat(asks["ask"].to_numpy(), keep), "dist": dist.ravel(), "id": ids[best], "tag": tags[best]}
+            {"ask": asks["ask"].to_numpy()[row], "dist": dist, "id": points["id"].to_numpy()[place], "tag": points["tag"].to_numpy()[place]}
         )
 
     return compare
 
 
+def _assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one cell dealt to its pivots."""
+    if rows.empty:
+        return rows.assign(reach=0.0)[["is_ask", "id", "grp", "cell", "reach"]]
+    pivots = pivots.sort_values("place")
+    d = _distances(np.stack(rows["v"].to_numpy()), np.stack(pivots["v"].to_numpy()))
+    nearest = d.argmin(axis=1)
+    names = pivots["child"].to_numpy()[nearest]
+    return pd.DataFrame({"is_ask": rows["is_ask"].to_numpy(), "id": rows["id"].to_numpy(), "grp": rows["grp"].to_numpy(), "cell": names, "reach": d[np.arange(len(d)), nearest]})
+
+
+def _descend(need: int):
+    def descend(asks: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
+        """The children of one cell that may hold a row within each query's bound, and the bound that they tell."""
+        if asks.empty or children.empty:
+            return asks.drop(columns=["salt"])
+        pivots, lo, hi = np.stack(children["v"].to_numpy()), children["lo"].to_numpy(), children["hi"].to_numpy()
+        names, rows = children["child"].to_numpy(), children["rows"].to_numpy()
+        apart = _distances(pivots, pivots)
+        np.fill_diagonal(apart, np.inf)
+        out = []
+        for start in range(0, len(asks), 512):
+            some = asks.iloc[start : start + 512]
+            d = _distances(np.stack(some["v"].to_numpy()), pivots)
+            # the children with the nearest far ends hold enough rows within the last of these ends
+            ends = np.argsort(d + hi, axis=1)
+            enough = np.cumsum(rows[ends], axis=1) >= need
+            reached = np.take_along_axis(np.take_along_axis(d + hi, ends, axis=1), enough.argmax(axis=1)[:, None], axis=1)[:, 0]
+            bound = np.minimum(some["bound"].to_numpy(), np.where(enough[:, -1], reached, np.inf))
+            ring = np.maximum(d - hi, lo - d)
+            sq = d**2
+            # a row of cell i is no farther from pivot i than from pivot j, so it lies beyond the plane between them
+            slack = 1e-12 * (sq[:, :, None] + sq[:, None, :] + hi[None, :, None] ** 2)
+            plane = ((sq[:, :, None] - sq[:, None, :] - slack) / (2.0 * apart)[None]).max(axis=2)
+            row, child = np.nonzero(np.maximum(ring, plane) <= (bound * (1 + 1e-9) + 1e-12)[:, None])
+            out.append(some.iloc[row].assign(cell=names[child], bound=bound[row]))
+        return pd.concat(out).drop(columns=["salt"])
+
+    return descend
+
+
+def _salted(rows: DataFrame, name: str, block_rows: int, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` dealt into blocks within their cell, and ``few`` (``CELL`` too) repeated for every block."""
+    blocks = settle(rows.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")), "blocks")
+    dealt = rows.join(blocks, CELL).withColumn("salt", F.pmod(F.xxhash64(name), "blocks").cast("int")).drop("blocks")
+    salts = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("salt")
+    return dealt, few.join(blocks, CELL).select(*few.columns, salts)
+
+
+def _tree(points: DataFrame, asks: DataFrame, block_rows: int, fan: int):
+    """``(is_ask, id, grp, cell, v)`` of points and queries in their leaves, and the children of every split cell.
+
+    One round a level; only cells above ``block_rows`` points go on. A pivot falls to itself, so every child is smaller.
+    """
+    id_type, grp_type = points.schema["id"].dataType.simpleString(), points.schema["grp"].dataType.simpleString()
+    root = F.lit("").alias("cell")
+    live = points.select(F.lit(False).alias("is_ask"), "id", "grp", root, "v", "lead").unionByName(
+        asks.select(F.lit(True).alias("is_ask"), F.col("ask").alias("id"), "grp", root, "v", F.lit(False).alias("lead"))
+    )
+    leaves, levels = [], []
+    for _ in range(MAX_DEPTH):
+        counts = live.filter("NOT is_ask").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("different"))
+        wanted = F.least(F.lit(fan), F.ceil(2 * F.col("n") / block_rows)).alias("wanted")  # leaves of about half a block
+        large = settle(counts.filter((F.col("n") > block_rows) & (F.col("different") > 1)).select(*CELL, wanted), "large-cells")
+        if large.isEmpty():
+            break
+        leaves.append(live.join(large, CELL, "left_anti"))
+        live = live.join(large, CELL, "left_semi")
+        place = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.xxhash64("v"), "id"))
+        drawn = live.filter("lead").withColumn("place", place).filter(F.col("place") <= fan)
+        drawn = drawn.join(large, CELL).filter(F.col("place") <= F.col("wanted"))
+        child = F.concat("cell", F.substring(F.lit(DIGITS), F.col("place"), F.lit(1))).alias("child")
+        pivots = settle(drawn.select(*CELL, "place", "v", child), "pivots")
+        dealt, copies = _salted(live, "id", block_rows, pivots)
+        block = [*CELL, "salt"]
+        schema = f"is_ask boolean, id {id_type}, grp {grp_type}, cell string, reach double"
+        placed = dealt.groupBy(*block).cogroup(copies.groupBy(*block)).applyInPandas(_assign, schema)
+        placed = settle(live.select("is_ask", "id", "v", "grp", "lead").join(placed, ["is_ask", "id", "grp"]), "level")
+        rings = placed.filter("NOT is_ask").groupBy("grp", F.col("cell").alias("child")).agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        levels.append(settle(pivots.drop("place").join(rings, ["grp", "child"]), "children"))
+        live = placed.drop("reach")
+    if not levels:
+        return live, levels
+    leaves = reduce(DataFrame.unionByName, [*leaves, live]).select("is_ask", "id", "grp", "cell", "v")
+    return settle(leaves, "leaves"), levels
+
+
+def _compared(cells: DataFrame, visits: DataFrame, need: int, block_rows: int, schema: str) -> DataFrame:
+    """The ``need`` nearest rows that each block of a visited cell has for each query."""
+    splits = cells.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("splits"))
+    slices = visits.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("slices"))
+    sizes = settle(splits.join(slices, CELL), "sizes")
+    spread = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
+    left = visits.join(sizes, CELL).select(
+        "ask", "v", *CELL, F.pmod(F.xxhash64("ask"), "slices").alias("slice"), spread(F.col("splits")).alias("split")
+    )
+    right = cells.join(sizes, CELL).select(
+        "id", "tag", "v", *CELL, F.pmod(F.xxhash64("id"), "splits").alias("split"), spread(F.col("slices")).alias("slice")
+    )
+    block = [*CELL, "split", "slice"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(_compare_blocks(need), schema)
+
+
+def _best(found: DataFrame, need: int) -> DataFrame:
+    order = F.row_number().over(Window.partitionBy("ask").orderBy("dist", "id"))
+    return found.withColumn("_n", order).filter(F.col("_n") <= need).drop("_n")
+
+
+def _further_visits(asks: DataFrame, first: DataFrame, levels: list[DataFrame], need: int, block_rows: int) -> DataFrame:
+    """``ask, v, grp, cell``: leaves other than its own that a query has to visit.
+
+    ``asks`` has ``ask, grp, home, v``; ``first`` the rows found at home, whose ``need``-th distance is the bound.
+    """
+    bound = first.groupBy("ask").agg(F.when(F.count(F.lit(1)) >= need, F.max("dist")).alias("bound"))
+    front = asks.join(bound, "ask", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    front = settle(front.withColumn("cell", F.lit("")), "front")
+    types = {f.name: f.dataType.simpleString() for f in front.schema.fields}
+    done = []
+    for children in levels:
+        split = children.select(*CELL).distinct()
+        done.append(front.join(split, CELL, "left_anti"))
+        dealt, copies = _salted(front.join(split, CELL, "left_semi"), "ask", block_rows, children)
+        block, names = [*CELL, "salt"], [c for c in dealt.columns if c != "salt"]
+        schema = ", ".join(f"{c} {types[c]}" for c in names)
+        front = settle(dealt.groupBy(*block).cogroup(copies.groupBy(*block)).applyInPandas(_descend(need), schema), "front")
+    reached = reduce(DataFrame.unionByName, [*done, front])
+    return reached.filter(F.col("cell") != F.col("home")).select("ask", "v", *CELL)
+
+
+def _search(points: DataFrame, asks: DataFrame, need: int, block_rows: int, fan: int, schema: str):
+    """The ``need`` best rows of every query, and the cells with the visits of both rounds."""
+    placed, levels = _tree(points, asks, block_rows, min(fan, len(DIGITS)))
+    if not levels:
+        cells, home = points.withColumn("cell", F.lit("")), asks.withColumn("cell", F.lit(""))
+        return _best(_compared(cells, home, need, block_rows, schema), need), cells, [home]
+    home = placed.filter("is_ask").select(F.col("id").alias("ask"), *CELL, "v")
+    tags = points.select("id", "grp", "tag")
+    cells = settle(placed.filter("NOT is_ask").select("id", *CELL, "v").join(tags, ["id", "grp"]), "cells")
+    first = settle(_best(_compared(cells, home, need, block_rows, schema), need), "first")
+    further = settle(_further_visits(home.withColumnRenamed("cell", "home"), first, levels, need, block_rows), "further")
+    found = first.unionByName(_compared(cells, further, need, block_rows, schema))
+    return _best(found, need), cells, [home, further]
+
+
+def _folded(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None, tag: str | None):
+    """Points (the ``k + 1`` smallest ids of a vector, ``lead`` on the first), queries by row, and different queries."""
+    group = F.col(same) if same else F.lit(0)
+    tagged = F.col(tag) if tag else F.lit(None).cast("int")
+    vector = F.col(vec).cast("array<double>").alias("v")
+    place = F.row_number().over(Window.partitionBy("grp", "v").orderBy("id"))
+    points = base.select(F.col(key).alias("id"), group.alias("grp"), tagged.alias("tag"), vector)
+    points = points.withColumn("_n", place).filter(F.col("_n") <= k + 1)
+    points = settle(points.withColumn("lead", F.col("_n") == 1).drop("_n"), "points")
+    rows = queries.select(F.col(key).alias("id"), group.alias("grp"), vector)
+    return points, rows, settle(rows.groupBy("grp", "v").agg(F.min("id").alias("ask")), "asks")
+
+
+def _schema(points: DataFrame, asks: DataFrame) -> str:
+    of = lambda df, name: df.schema[name].dataType.simpleString()
+    return f"ask {of(asks, 'ask')}, dist double, id {of(points, 'id')}, tag {of(points, 'tag')}"
+
+
 def knn_lists(
     queries: DataFrame,
     base: DataFrame,
@@ -99,70 +246,32 @@ def knn_lists(
     same: str | None = None,
     tag: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    fan: int = FAN,
 ) -> DataFrame:
     """``key, near``: the k nearest rows of ``base`` other than the row itself, as ``(dist, id, tag)``, nearest first.
 
     ``same`` restricts neighbours to rows with an equal value in that column; ``tag`` is a column of ``base`` to return.
     """
-    group = F.col(same) if same else F.lit(0)
-    tagged = F.col(tag) if tag else F.lit(None).cast("int")
-    vector = F.col(vec).cast("array<double>").alias("v")
-    id_type = base.schema[key].dataType.simpleString()
-    tag_type = base.schema[tag].dataType.simpleString() if tag else "int"
-
-    place = F.row_number().over(Window.partitionBy("grp", "v").orderBy("id"))
-    points = base.select(F.col(key).alias("id"), group.alias("grp"), tagged.alias("tag"), vector)
-    points = settle(points.withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n"), "points")
-    rows = queries.select(F.col(key).alias("id"), group.alias("grp"), vector)
-    asks = settle(rows.groupBy("grp", "v").agg(F.min("id").alias("ask")), "asks")
-
-    cells, visits = _partition(points, asks, k + 1, block_rows, max_pivots)
-    by_cell = ["grp", "cell"]
-    splits = settle(cells.groupBy(*by_cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("splits")), "splits")
-    slices = settle(visits.groupBy(*by_cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("slices")), "slices")
-    sizes = settle(splits.join(slices, by_cell), "sizes")
-    spread = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
-    left = visits.join(sizes, by_cell).select(
-        "ask", "v", *by_cell, F.pmod(F.xxhash64("ask"), "slices").alias("slice"), spread(F.col("splits")).alias("split")
-    )
-    right = cells.join(sizes, by_cell).select(
-        "id", "tag", "v", *by_cell, F.pmod(F.xxhash64("id"), "splits").alias("split"), spread(F.col("slices")).alias("slice")
-    )
-    block = [*by_cell, "split", "slice"]
-    schema = f"ask {id_type}, dist double, id {id_type}, tag {tag_type}"
-    best = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(_compare_blocks(k + 1), schema)
-    order = F.row_number().over(Window.partitionBy("ask").orderBy("dist", "id"))
-    best = best.withColumn("_n", order).filter(F.col("_n") <= k + 1)
+    points, rows, asks = _folded(queries, base, key, vec, k, same, tag)
+    best, _, _ = _search(points, asks, k + 1, block_rows, fan, _schema(points, asks))
     best = best.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "tag"))).alias("near"))
     lists = rows.join(asks, ["grp", "v"]).select("id", "ask").join(best, "ask")
     others = F.filter("near", lambda n: n["id"] != F.col("id"))
     return lists.select(F.col("id").alias(key), F.slice(others, 1, k).alias("near"))
 
 
-def _partition(points: DataFrame, asks: DataFrame, need: int, block_rows: int, max_pivots: int):
-    """Points with their cell, and queries with each cell they visit."""
-    count = points.count()
-    wanted = max(1, min(max_pivots, count // block_rows))
-    if wanted > 1:
-        groups = points.select("grp").distinct().limit(MAX_CELLS // wanted + 1).count()
-        if groups * wanted > MAX_CELLS:
-            wanted = 1
-    if wanted == 1:
-        cell = F.lit(0).alias("cell")
-        return points.select("*", cell), asks.select("ask", "grp", "v", cell)
-    drawn = points.orderBy(hash_text("pivot", F.col("id"))).limit(wanted).select("v").collect()
-    pivots = np.array([r["v"] for r in drawn])
-    near = _nearest_pivot(pivots)(F.col("v"))
-    cells = settle(points.select("*", near.alias("_c")).select("*", "_c.cell", "_c.reach").drop("_c"), "cells")
-    stats: dict = {}
-    per_cell = cells.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
-    for r in per_cell.collect():  # at most MAX_CELLS rows, checked above
-        stats.setdefault(r["grp"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
-    stats = {g: tuple(np.array(col) for col in zip(*rows)) for g, rows in stats.items()}
-    visit = _cells_to_visit(pivots, stats, need)(F.col("grp"), F.col("v"))
-    visits = settle(asks.select("ask", "grp", "v", F.explode(visit).alias("cell")), "visits")
-    return cells.drop("reach"), visits
+def compared_pairs(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None = None, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
+    """One row: ``compared``, pairs whose distance the search looks at, and ``pairs``, all pairs within the groups."""
+    points, _, asks = _folded(queries, base, key, vec, k, same, None)
+    _, cells, rounds = _search(points, asks, k + 1, block_rows, fan, _schema(points, asks))
+    visits = reduce(DataFrame.unionByName, [v.select("ask", *CELL) for v in rounds])
+
+    def product(left: DataFrame, right: DataFrame, by: list[str], name: str) -> DataFrame:
+        both = left.groupBy(*by).count().join(right.groupBy(*by).agg(F.count(F.lit(1)).alias("others")), by)
+        return both.select(F.lit(name).alias("name"), (F.col("count") * F.col("others")).alias("n"))
+
+    sums = product(visits, cells, CELL, "compared").unionByName(product(asks, points, ["grp"], "pairs"))
+    return sums.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("compared", "pairs")])
 
 
 def knn(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None = None, **limits) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetwear.operators.masking import stack
 from fleetwear.operators.metrics import class_report, confusion, flat_report
-from fleetwear.operators.models import BOOSTERS, booster, fit, fit_together, predict
+from fleetwear.operators.models import BOOSTERS, booster, fit, fit_student, fit_together, predict, predict_all, teacher_scores
 from fleetwear.operators.oversample import oversample
 from fleetwear.operators.scaling import minmax_apply, minmax_fit
 from fleetwear.operators.splits import stratified_split, test_rows, train_rows
@@ -54,16 +54,50 @@ def train_scenarios(
     return models, class_report(confusion(_union(scored), ["scenario"]), ["scenario"])
 
 
+def train_distilled(
+    teachers: Mapping[int, object],
+    teacher_rows: DataFrame,
+    train: DataFrame,
+    valid: DataFrame,
+    key: Sequence[str],
+    ks: Sequence[int],
+    stacked: bool = True,
+    save_to: str | None = None,
+    teacher_temperature: float = 4.0,
+    student_temperature: float = 4.0,
+    **fit_options,
+):
+    """The scenario loop with a teacher: a student per scenario, ``{k: model}``, and the class report of each.
+
+    ``teachers[k]`` is the fitted teacher of scenario ``k``. It scores the training rows of its own frame (``teacher_rows``: ``key, scenario,
+    features``); its scores are stored by key and scenario and joined to the masked rows that the student sees (``train``: ``key,
+    scenario, label, features``). Students are judged on ``valid`` without their teacher. A row that the teacher does not have is an error.
+    """
+    by = [*key, "scenario"]
+    taught, train, valid = settle(teacher_rows, "teacher-rows"), settle(train, "train"), settle(valid, "valid")
+    pick = stack if stacked else lambda rows, k: rows.filter(F.col("scenario") == k)
+    models, scored = {}, []
+    for k in ks:
+        scores, is_prob = teacher_scores(teachers[k], pick(taught, k), by)
+        known = pick(train, k).join(settle(scores, "teacher-scores"), by, "left")
+        checked = F.when(F.col("scores").isNotNull(), F.col("scores")).otherwise(F.raise_error(F.lit("a training row has no teacher scores")))
+        rows = settle(known.select("label", "features", checked.alias("scores")), "distilled")
+        models[k] = fit_student(rows, is_prob=is_prob, temperature=teacher_temperature, student_temperature=student_temperature, **fit_options)
+        if save_to:
+            save_model(models[k], f"{save_to}/scen_{k}")
+        preds = predict(models[k], pick(valid, k).select("label", "features"))
+        scored.append(preds.select("label", "prediction", F.lit(k).alias("scenario")))
+    return models, class_report(confusion(_union(scored), ["scenario"]), ["scenario"])
+
+
 def cross_evaluate(models: dict, scenario_rows: DataFrame) -> DataFrame:
     """Every model on every scenario: ``model_scenario, scenario, accuracy, f1_score, precision, recall``.
 
-    Each model scores all scenarios in one pass; only confusion counts are shuffled.
+    One scan scores all scenarios under all models; only confusion counts are shuffled, once.
     """
-    rows = scenario_rows.select("scenario", "label", "features")
-    counts = [
-        confusion(predict(model, rows), ["scenario"]).select(F.lit(k).alias("model_scenario"), "*") for k, model in models.items()
-    ]
-    return flat_report(_union(counts), ["model_scenario", "scenario"])
+    found = predict_all(models, scenario_rows.select("scenario", "label", "features")).withColumnRenamed("model", "model_scenario")
+    by = ["model_scenario", "scenario"]
+    return flat_report(confusion(found, by), by)
 
 
 def _together(run: Callable, cells: Sequence) -> list:

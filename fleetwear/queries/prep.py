@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fleetwear.functions import columns as C
@@ -492,3 +493,25 @@ LEFT JOIN (SELECT doc_id, dim, avg(v) AS value FROM token_values GROUP BY doc_id
 def embed_text(spark, sf):
     rows = frames.embed_text(V.table(spark, sf, "documents"), ["doc_id"], "text", 8)
     return rounded(rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")), "value")
+
+
+LETTERS = "aeiou"
+
+
+def letter_counts():
+    """A model that embeds a text by its vowels; made once a worker, called with arrays of texts."""
+
+    def embed(texts):
+        return np.array([[(t or "").count(c) for c in LETTERS] for t in texts.ravel()], dtype="float32").reshape(-1, len(LETTERS))
+
+    return embed
+
+
+@query(
+    "d18_embed_with",
+    f"""SELECT doc_id, CAST(i AS INTEGER) AS dim, CAST(len(coalesce(text, '')) - len(replace(coalesce(text, ''), substr('{LETTERS}', i + 1, 1), '')) AS DOUBLE) AS value
+FROM documents CROSS JOIN (SELECT CAST(unnest(range(0, {len(LETTERS)})) AS INTEGER) AS i) d""",
+)
+def embed_with(spark, sf):
+    rows = frames.embed_with(V.table(spark, sf, "documents").select("doc_id", "text"), "text", letter_counts, batch_size=64)
+    return rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))

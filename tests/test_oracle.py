@@ -9,8 +9,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF
 
 QUERIES, ORACLES = queries(), oracle_sql()
-# run for rows only, or slow enough to leave to the full check
-SLOW = {"d13_mix", "d11_borderline_smote", "d12_adasyn", "m12_augmentation_study"}
+# slow enough to leave to the full check
+SLOW = {"m12_augmentation_study"}
 
 
 @pytest.fixture(scope="module")

@@ -54,7 +54,7 @@ def vectors(spark, n=90, copies=40):
     return data, spark.createDataFrame(rows, "id long, label long, features array<double>")
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_rows": 8, "max_pivots": 6}])
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 8, "fan": 4}])
 @pytest.mark.parametrize("same", [None, "label"])
 def test_neighbours_equal_brute_force(spark, same, limits):
     data, rows = vectors(spark)
