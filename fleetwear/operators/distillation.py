@@ -153,7 +153,7 @@ class SoftmaxModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         ).drop("_z")
 
 
-def fit_softmax_student(rows: DataFrame, alpha: float, temperature: float, steps: int = 100, tolerance: float = 1e-6) -> SoftmaxModel:
+def fit_softmax_student(rows: DataFrame, alpha: float, temperature: float, steps: int = 100, tolerance: float = 1e-5) -> SoftmaxModel:
     """Fit on ``features ARRAY<DOUBLE>, label INT, scores ARRAY<DOUBLE>``; ``scores`` are the teacher's probabilities.
 
     Features are centred and scaled by all rows first; the weights returned are those of the unscaled ones.
