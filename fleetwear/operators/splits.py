@@ -11,27 +11,35 @@ from pyspark.sql import functions as F
 from fleetwear.functions.columns import hash_text
 from fleetwear.runtime import settle
 
-PREFIX = 4  # hex digits of the first cut: 65,536 buckets of nearly equal size
+DIGITS = 4  # hex digits told apart in a round: 65,536 buckets of nearly equal size
 
 
-def hash_cut(hashed: DataFrame, take: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def hash_cut(hashed: DataFrame, take: DataFrame, by: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
     """Per group, the ``take``-th smallest hash: ``by..., cut`` (no row where ``take`` is 0).
 
-    ``hashed`` has ``by`` and distinct hashes ``h``; ``take`` has ``by`` and ``take``. Buckets of the hash prefix are
-    counted (at most 65,536 counts per group), a running sum finds the bucket of the cut, and only that bucket's
-    rows are ranked.
+    ``hashed`` has ``by`` and hashes ``h``; ``take`` has ``by`` and ``take``. Rows are never ranked: buckets of the hash prefix are
+    counted, a running sum over at most ``16 ** digits`` counts a group finds the bucket of the cut, and the rows of that
+    bucket alone are counted again by the next digits, until it holds one hash. Every round leaves a 65,536th of the rows.
     """
-    by = list(by)
-    prefixed = hashed.select(*by, "h", F.substring("h", 1, PREFIX).alias("_p"))
-    counts = prefixed.groupBy(*by, "_p").count()
-    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("count").over(upto))
-    counts = _match(counts, take, by) if by else counts.crossJoin(F.broadcast(take))  # without groups take is one row
-    found = counts.filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("count") < F.col("take")))
-    found = settle(found.select(*by, "_p", (F.col("take") - F.col("_upto") + F.col("count")).alias("_nth")), "cut")
-    rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("h"))
-    inside = _match(prefixed, found, [*by, "_p"]).withColumn("_rank", rank)
-    return inside.filter(F.col("_rank") == F.col("_nth")).select(*by, F.col("h").alias("cut"))
+    if not by:
+        one = F.lit(0).alias("_g")
+        return hash_cut(hashed.select("h", one), take.select("take", one), ["_g"], digits).drop("_g")
+    by, rows, done = list(by), hashed.select(*by, "h"), []
+    longest = 32  # hex digits of an md5
+    for end in range(digits, longest + digits, digits):
+        prefixed = rows.select(*by, "h", F.substring("h", 1, end).alias("_p"))
+        counts = prefixed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("h").alias("_lo"), F.max("h").alias("cut"))
+        upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        counts = _match(counts.withColumn("_upto", F.sum("_n").over(upto)), take, by)
+        hit = counts.filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take")))
+        hit = settle(hit.select(*by, "_p", "_lo", "cut", (F.col("take") - F.col("_upto") + F.col("_n")).alias("take")), "cut")
+        done.append(hit.filter("_lo = cut").select(*by, "cut"))
+        further = hit.filter("_lo <> cut")
+        if further.isEmpty():
+            break
+        rows = settle(_match(prefixed, further.select(*by, "_p"), [*by, "_p"]).select(*by, "h"), "bucket")
+        take = further.select(*by, "take")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _match(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -68,7 +76,10 @@ def group_split(df: DataFrame, groups: Sequence[str] = ("unit",), test: float =
 
 
 def random_split(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
-    """Add ``is_test`` row by row: a hash threshold in one pass, or an exact ``ceil(test * rows)``."""
+    """Add ``is_test`` row by row: a hash threshold in one pass, or an exact ``ceil(test * rows)``.
+
+    Rows with equal keys share a side: when the cut falls among copies of a key, all of them are test.
+    """
     digest = hash_text(seed, *[F.col(k) for k in key])
     if not exact:
         return df.withColumn("is_test", F.substring(digest, 1, 8) < F.lit(f"{int(test * 16**8):08x}"))
@@ -91,7 +102,7 @@ def stratified_take(counts: DataFrame, by: Sequence[str], test: float) -> DataFr
 
 
 def stratified_split(df: DataFrame, key: Sequence[str], by: Sequence[str], test: float = 0.25, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` with every class cut in its share."""
+    """Add ``is_test`` with every class cut in its share; rows of a class with equal keys share a side, as in ``random_split``."""
     by = list(by)
     digest = hash_text(seed, *[F.col(k) for k in key])
     counts = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")), "classes")
