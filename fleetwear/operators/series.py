@@ -164,17 +164,34 @@ def index_series(df: DataFrame, key: Sequence[str], order: Sequence[str], **limi
     return by_length(df, key, lambda part, chunk: number_rows(part, key, order, chunk), **limits)
 
 
-def ewm(series: DataFrame, key: Sequence[str], alpha: float = 0.05, value: str = "y", name: str = "smooth") -> DataFrame:
-    """Exponential smoothing ``e0 = x0; e = (1 - alpha) e + alpha x`` over ``i``, for any length.
+def ewm(series: DataFrame, key: Sequence[str], alpha: float = 0.05, value: str = "y", name: str = "smooth", **limits) -> DataFrame:
+    """Exponential smoothing over ``i``: ``e0 = x0; e = (1 - alpha) e + alpha x``, for any length, gap and ``alpha``.
 
-    The series is cut into blocks short enough that ``(1 - alpha) ** -j`` stays below 1e12. Inside a block the
-    smoothing is a weighted running sum; the part of earlier blocks is a per-block sum that decays by 1e-12 per block,
-    so 26 blocks back it is below the smallest double (``reach`` counts the blocks for other ``alpha``).
+    A missing value keeps the smoothed one, and what was smoothed before weighs less for every row passed: after a gap
+    of ``g`` rows ``e = (w e + alpha x) / (w + alpha)`` with ``w = (1 - alpha) ** g``. Before the first known value it is null.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
+    known = series.withColumn("_x", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")))
     if alpha == 1:
-        return series.withColumn(name, F.col(value))
+        return by_length(known, key, lambda part, chunk: with_last(part, key, {name: "_x"}, chunk).drop("_x"), **limits)
+    scan = lambda rows: by_length(rows, key, lambda part, chunk: _smoothed(part, key, alpha, name, chunk), **limits)
+    if alpha * CHUNK < SPAN:  # a block would have to be carried into very many others
+        return scan(known)
+    gaps = settle(known.filter("_x IS NULL").select(*key).distinct(), "series-with-gaps")
+    whole = lambda rows: _smoothed_whole(rows.drop("_x"), key, alpha, value, name)
+    if gaps.isEmpty():
+        return whole(known)
+    return whole(known.join(gaps, list(key), "left_anti")).unionByName(scan(known.join(gaps, list(key), "left_semi")))
+
+
+def _smoothed_whole(series: DataFrame, key: Sequence[str], alpha: float, value: str, name: str) -> DataFrame:
+    """Smoothing of series without gaps, where a weight depends on the distance alone.
+
+    The series is cut into blocks short enough that ``(1 - alpha) ** -j`` stays below 1e12. Inside a block the
+    smoothing is a weighted running sum; the part of earlier blocks is a per-block sum that decays by 1e-12 per block,
+    so 26 blocks back it is below the smallest double.
+    """
     keep = 1.0 - alpha
     block = min(CHUNK, max(1, int(math.log(1e12) / -math.log(keep))))
     reach = math.ceil(math.log(1e308) / (-math.log(keep) * block))
@@ -197,6 +214,47 @@ def ewm(series: DataFrame, key: Sequence[str], alpha: float = 0.05, value: str =
     )
 
 
+SPAN = 400.0  # decay, as a logarithm, that a segment covers: its weights stay within the range of a double
+RESET = 800.0  # decay of a row that forgets all before it
+
+
+def _smoothed(part: DataFrame, key: Sequence[str], alpha: float, name: str, chunk: int) -> DataFrame:
+    """Smoothing as the recurrence ``e = a e + b``, whose steps can be joined in any grouping.
+
+    ``d`` is the sum of ``-ln a`` up to a row. Inside a segment (a span of ``d``, and a chunk of a long series) the smoothed value is
+    a running sum of ``b exp(d)``; the ends of the segments are joined over distances 1, 2, 4, ...
+    """
+    part = with_last(part.withColumn("_p", F.when(F.col("_x").isNotNull(), F.col("i"))), key, {"_at": "_p"}, chunk)
+    part = with_neighbours(part, key, "_at", "_was", "_then", chunk)
+    is_known = F.col("_x").isNotNull()
+    fade = -math.log1p(-alpha)
+    gap = F.col("i") - F.col("_was")
+    weight = F.exp(-fade * gap)
+    after_gap = F.when(gap == 1, F.lit(fade)).otherwise(F.least(F.ln(weight + alpha) + fade * gap, F.lit(RESET)))
+    cost = F.when(is_known & F.col("_was").isNull(), RESET).when(is_known, after_gap).otherwise(0.0)
+    gain = F.when(is_known, F.col("_x") * F.when(F.col("_was").isNull(), 1.0).otherwise(alpha / (weight + alpha))).otherwise(0.0)
+    part = part.withColumns({"_cost": cost, "_gain": gain}).drop("_p", "_was", "_then", "_x")
+    part = with_running_sum(part, key, "_cost", "_d", chunk).withColumn("_s", F.floor(F.col("_d") / SPAN))
+    part = part.withColumn("_piece", F.floor(F.col("i") / chunk) if chunk else F.lit(0).cast("bigint"))
+    segment = [*key, "_s", "_piece"]
+    inside = F.col("_d") - F.col("_s") * SPAN
+    part = part.withColumns({"_up": F.col("_gain") * F.exp(inside), "_down": F.exp(-inside)})
+    ends = part.groupBy(*segment).agg(F.max("_d").alias("_last"), (F.sum("_up") * F.min("_down")).alias("_end"))
+    ends = settle(ends, "segment-ends")
+    most = ends.groupBy(*key).count().agg(F.max("count")).first()[0] or 1
+    over, reach = _whole(key).orderBy("_s", "_piece"), 1
+    while reach < most:
+        far = F.lag("_end", reach).over(over) * F.exp(F.lag("_last", reach).over(over) - F.col("_last"))
+        ends = ends.withColumn("_end", F.col("_end") + F.coalesce(far, F.lit(0.0)))
+        reach *= 2
+    ends = settle(ends.select(*segment, F.lag("_end").over(over).alias("_carry"), F.lag("_last").over(over).alias("_from")), "carried")
+    to_here = _whole(segment).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = part.withColumn("_sum", F.when(F.col("_at").isNotNull(), F.sum("_up").over(to_here)))
+    rows = part.join(ends, segment)
+    smooth = F.col("_sum") * F.col("_down") + F.coalesce(F.col("_carry") * F.exp(F.col("_from") - F.col("_d")), F.lit(0.0))
+    return rows.withColumn(name, smooth).drop("_at", "_cost", "_gain", "_d", "_s", "_piece", "_up", "_down", "_carry", "_from", "_sum")
+
+
 def abs_dev(series: DataFrame, key: Sequence[str], value: str = "y", name: str = "dev", **limits) -> DataFrame:
     """Absolute deviation from the series mean."""
 

@@ -72,6 +72,30 @@ def test_smoothing_equals_pandas(spark, alpha):
     assert np.allclose(got, pd.Series(y).ewm(alpha=alpha, adjust=False).mean(), atol=1e-12)
 
 
+@pytest.mark.parametrize("limits", [{}, CUT])
+@pytest.mark.parametrize("alpha", [1e-6, 0.05, 0.9, 1.0])
+def test_smoothing_over_gaps(spark, alpha, limits):
+    """Missing values, long gaps, gaps at both ends, a series of nothing else: as a plain loop has it."""
+    rng = np.random.default_rng(2)
+    long = np.where(rng.random(2500) < 0.3, np.nan, rng.normal(size=2500))
+    long[700:1600] = np.nan
+    cases = {1: long, 2: np.array([np.nan, np.nan, 1.0, np.nan, 3.0, np.nan]), 3: np.full(4, np.nan), 4: np.array([2.0])}
+    rows = [(u, i, None if np.isnan(v) and i % 2 else float(v)) for u, y in cases.items() for i, v in enumerate(y)]
+    data = spark.createDataFrame(rows, "unit int, i int, y double")
+    got = rows_of(S.ewm(data, ["unit"], alpha, **limits), "unit", "i")
+    assert list(got.columns) == ["unit", "i", "y", "smooth"] and len(got) == len(rows)
+    for unit, y in cases.items():
+        want, e, gap = [], None, 1
+        for v in y:
+            if not np.isnan(v):
+                w = (1 - alpha) ** gap
+                e, gap = (v if e is None else (w * e + alpha * v) / (w + alpha)), 0
+            gap += 1
+            want.append(np.nan if e is None else e)
+        mine = got[got["unit"] == unit]["smooth"].to_numpy(dtype=float)
+        assert np.allclose(mine, want, atol=1e-9, equal_nan=True), unit
+
+
 @pytest.mark.parametrize("limits", [{}, CUT])
 def test_runs_tile_the_series(spark, limits):
     rows = S.index_series(random_series(spark), ["unit"], ["t"]).withColumn("state", (F.col("y") * 3).cast("int"))
