@@ -8,9 +8,12 @@
    weighs, for every ``m`` it may use, the posting entries that its prefix would meet against the candidates these can
    yield at most (entries / m), takes the cheapest ``m``, and asks for ``m`` common shingles before a pair is verified.
 4. A shared shingle counts only if the two places of it leave room for enough common shingles before and after. Large groups of near copies do not meet pair by pair: a class that shares half its prefix with one other, its star, is verified
-   against that one alone, and the join looks for partners outside the star. Classes of one star that verification leaves in
-   different components then take turns: each is verified against the few classes of other components that lack most of the same
-   shingles of the star, as long as that joins any. A second join covers the classes that are still apart.
+   against that one alone, and the join looks for partners outside the star. A class of a star is from then on its difference to
+   the star's set, the shingles that one of the two has alone. What two classes differ by is what their differences differ by, so they are
+   similar just when their differences share a number of shingles that grows with the sizes of both (``_needed_apart``); it is 0
+   only for two that are similar to the star. Classes that verification leaves in different components take turns: each is
+   verified against the few classes of other components that it most likely shares enough with, as long as that joins any. A
+   second join, on the differences, covers what is still apart: classes that cannot share enough with any other go before it.
 5. Verification counts the intersection of the whole sets, which are made only for classes that are in some pair.
 """
 
@@ -33,6 +36,7 @@ SKETCH_BITS = 22
 MAX_MATCHES = 6
 MAX_TURNS = 8  # rounds of tests inside stars; the join after them finds what they have not
 TESTS = 3  # classes that a class is verified against in a round
+PRUNINGS = 3  # rounds that leave out what cannot be similar before the last join
 CHUNK = 1 << 20  # bytes of text worked on at once
 _PART = 1 << 14
 
@@ -223,16 +227,15 @@ def _tag(live: DataFrame, tags: DataFrame, name: str) -> DataFrame:
     return live.join(tags.select("key", name), "key", "left").withColumn(name, F.coalesce(name, "key"))
 
 
-def _candidates(rows: DataFrame, t: int, apart: str, within: str | None = None) -> DataFrame:
-    """``a, b``: pairs with enough shared prefix shingles, from different ``apart`` and, if given, the same ``within``."""
+def _candidates(rows: DataFrame, t: int, apart: str) -> DataFrame:
+    """``a, b``: pairs with enough shared prefix shingles, from different ``apart``."""
     # A shingle whose holders are all on one side has nothing left to find.
-    side = [within] if within else []
-    held = rows.groupBy("token", *side).agg(
+    held = rows.groupBy("token").agg(
         F.min(apart).alias("lo"),
         F.max(apart).alias("hi"),
         F.count_if(F.col("at") < index_base(F.col("n").cast("long"), t) + MAX_MATCHES).alias("entries"),
     )
-    rows = settle(rows.join(held.filter("lo != hi").select("token", *side, "entries"), ["token", *side]), "open")
+    rows = settle(rows.join(held.filter("lo != hi").select("token", "entries"), "token"), "open")
     n = F.col("n").cast("long")
     allowed = F.least(F.lit(MAX_MATCHES), _ceil(t * n, 100))
     met_by = [F.sum(F.when(F.col("at") < probe_base(n, t) + m, F.col("entries")).otherwise(0)) for m in range(1, MAX_MATCHES + 1)]
@@ -242,10 +245,9 @@ def _candidates(rows: DataFrame, t: int, apart: str, within: str | None = None)
     chosen = costs.select("key", F.array_min(F.filter(F.array(*priced), lambda x: x["m"] <= allowed))["m"].alias("m"))
     probe = rows.join(chosen, "key").filter(F.col("at") < probe_base(n, t) + F.col("m"))
     of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("n", "at", "met")]
-    probe = probe.select("token", *side, F.col("key").alias("a"), *of("a"), F.col(apart).alias("c_a"), "m")
+    probe = probe.select("token", F.col("key").alias("a"), *of("a"), F.col(apart).alias("c_a"), "m")
     index = rows.filter(F.col("at") < index_base(n, t) + MAX_MATCHES).select(
         "token",
-        *side,
         F.col("key").alias("b"),
         *of("b"),
         F.col(apart).alias("c_b"),
@@ -257,7 +259,7 @@ def _candidates(rows: DataFrame, t: int, apart: str, within: str | None = None)
     room = F.least("met_a", "met_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
     near = (100 * n_b >= t * n_a) & (room >= needed(n_a, n_b, t))
     pairs = (
-        probe.join(index, ["token", *side])
+        probe.join(index, "token")
         .filter(smaller & near & (F.col("c_a") != F.col("c_b")) & (F.col("level") <= F.col("m")))
         .groupBy("a", "b", "m")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -282,8 +284,10 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     live = settle(live.withColumn("met", F.row_number().over(order) - 1), "live")
     # Each class first meets one other: the one that at least half of its own prefix points to. A shingle points to the holder with
     # fewest shingles of its own, which in a group of near copies is the one nearest to their common origin.
-    pivots = live.groupBy("token").agg(F.min_by("key", F.struct(F.col("at") - F.col("met"), "key")).alias("pivot"))
-    counted = live.join(pivots, "token").filter("key != pivot").groupBy("key", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    # A star has at most twice the shingles of its classes, so their differences to it are in proportion to them.
+    pivots = live.groupBy("token").agg(F.min_by(F.struct("key", "n"), F.struct(F.col("at") - F.col("met"), "key")).alias("p"))
+    pointed = live.join(pivots, "token").filter("key != p.key and p.n <= 2 * n")
+    counted = pointed.groupBy("key", "n", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("c"))
     likely = counted.filter(F.col("c") * 2 >= probe_base(F.col("n").cast("long"), t))
     stars = settle(likely.groupBy("key").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("star")), "stars")
     rows = settle(_tag(live, stars, "star"), "tagged")
@@ -301,14 +305,14 @@ def links(documents: DataFrame, classes: DataFrame, size: int, percent: int) ->
     found = settle(_verify(pairs, sets, t), "links")
     # Classes of one star that are still apart have not met each other yet.
     parted = settle(components(found, "a", "b"), "groups").select(F.col("node").alias("key"), "component")
-    lacks = settle(_lacking(_apart(stars, parted), sets), "lacking")
+    apart = settle(_differences(_apart(stars, parted), sets, t), "differences")
     for turn in range(MAX_TURNS):
-        met = settle(_verify(_partners(_tag(lacks, parted, "component"), turn), sets, t), "links")
+        met = settle(_verify(_partners(_tag(apart, parted, "component"), turn, t), sets, t), "links")
         if met.isEmpty():
             break
         found = found.union(met)
         parted = settle(_merged(parted, met), "groups")
-    rest = _candidates(_tag(rows, parted, "component"), t, "component", "star")
+    rest = _overlaps(_tag(apart, parted, "component"), t)
     return found.union(settle(_verify(rest, sets, t), "links"))
 
 
@@ -320,11 +324,8 @@ def _apart(stars: DataFrame, parted: DataFrame) -> DataFrame:
     return stars.join(open_.select("star").distinct(), "star")
 
 
-def _lacking(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """``key, star, token, lacks``: the shingles of its star that each class lacks, and how many these are.
-
-    Near copies lie close when they have left the same places of their origin.
-    """
+def _differences(stars: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """``key, star, token, far``: the shingles that a class and its star do not share, and how far these put it from others."""
     one = sets.select("key", F.col("shingles").alias("x"))
     two = sets.select(F.col("key").alias("star"), F.col("shingles").alias("y"))
 
@@ -332,31 +333,70 @@ def _lacking(stars: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for key, star, x, y in zip(*batch.columns, strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                gone = np.setdiff1d(q, p, assume_unique=True).view(np.int64)
-                same = [np.full(len(gone), v, np.int64) for v in (key.as_py(), star.as_py(), len(gone))]
-                yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1]), pa.array(gone), pa.array(same[2])], names=["key", "star", "token", "lacks"])
+                alone = np.setxor1d(p, q, assume_unique=True).view(np.int64)
+                far = (100 + t) * len(alone) - (100 - t) * len(p)
+                same = [pa.array(np.full(len(alone), v, np.int64)) for v in (key.as_py(), star.as_py(), far)]
+                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(alone), same[2]], names=["key", "star", "token", "far"])
 
     joined = stars.select("key", "star").join(one, "key").join(two, "star").select("key", "star", "x", "y")
-    return joined.mapInArrow(work, "key long, star long, token long, lacks long")
+    return joined.mapInArrow(work, "key long, star long, token long, far long")
 
 
-def _partners(rows: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: for every class of a star the few classes of other components that most likely lie near it.
+def _needed_apart(a: Column, b: Column, t: int) -> Column:
+    """How many shingles the differences of two classes, ``far`` as ``a`` and ``b`` say, share at least if the two are similar.
 
-    A shingle of the star points to two classes that lack it and little else, of different components; ``turn`` changes
-    which. A class meets the ``TESTS`` that share most of what it lacks and lack least beside. Rows and tests grow with the classes,
-    whatever the size of a star.
+    Sets of ``n`` and ``m`` shingles are similar when ``(100 + t) * |x ^ y| <= (100 - t) * (n + m)``, and ``|x ^ y|`` is ``|dx| + |dy| - 2 * |dx & dy|``.
     """
-    side, first = ["star", "token"], F.struct("lacks", F.xxhash64("key", F.lit(turn)), "key")
-    one = rows.groupBy(*side).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("key", "component", "lacks"), first).alias("one"))
+    return _ceil(a + b, 2 * (100 + t))
+
+
+def _nearest_apart(rows: DataFrame, by: list[Column]) -> DataFrame:
+    """Adds ``other``, of the holders of the same shingle in another component the first in the order ``by``; rows without one go."""
+    side, held = ["star", "token"], F.struct("key", "component", "far")
+    one = rows.groupBy(*side).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(held, F.struct(*by)).alias("one"))
     rows = settle(rows.join(one.filter("lo != hi").select(*side, "one"), side), "open")
-    two = rows.filter("component != one.component").groupBy(*side).agg(F.min_by(F.struct("key", "component", "lacks"), first).alias("two"))
-    chosen = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
-    pointed = rows.join(two, side).select(F.col("key").alias("a"), chosen.alias("p")).groupBy("a", F.col("p.key").alias("b")).agg(
-        (F.count(F.lit(1)) - F.first("p.lacks")).alias("near")
-    )
+    two = rows.filter("component != one.component").groupBy(*side).agg(F.min_by(held, F.struct(*by)).alias("two"))
+    other = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
+    return rows.join(two, side).withColumn("other", other).drop("one", "two")
+
+
+def _partners(rows: DataFrame, turn: int, t: int) -> DataFrame:
+    """``a, b``: for every class of a star the few classes of other components that are most likely similar to it.
+
+    A shingle of its difference points to the holder in another component that lies least far from the star; ``turn`` decides
+    ties. A class meets the ``TESTS`` of these with most in common over what similarity needs. Rows and tests grow with the
+    classes, whatever the size of a star.
+    """
+    pointed = _nearest_apart(rows, [F.col("far"), F.xxhash64("key", F.lit(turn)), F.col("key")])
+    near = F.count(F.lit(1)) - _needed_apart(F.first("far"), F.first("other.far"), t)
+    pairs = pointed.groupBy(F.col("key").alias("a"), F.col("other.key").alias("b")).agg(near.alias("near"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
-    return settle(pointed.withColumn("place", place).filter(F.col("place") <= TESTS).select("a", "b"), "partners")
+    return settle(pairs.withColumn("place", place).filter(F.col("place") <= TESTS).select("a", "b"), "partners")
+
+
+def _overlaps(rows: DataFrame, t: int) -> DataFrame:
+    """``a, b``: the pairs of one star and different components whose differences can share as many shingles as similarity needs.
+
+    A shingle is no use to a class that, even with the nearest other holder, needs more in common than the class has left; what goes
+    leaves less to others, so this is asked ``PRUNINGS`` times. Then the usual prefixes: of ``c`` shingles, rare ones first, of which at
+    least ``q`` must be shared, the first ``c - q + 1`` hold one that is.
+    """
+    whole = Window.partitionBy("key")
+    for _ in range(PRUNINGS):
+        least = F.greatest(_needed_apart(F.col("far"), F.col("other.far"), t), F.lit(1))
+        rows = _nearest_apart(rows, [F.col("far"), F.col("key")]).withColumn("least", least).withColumn("held", F.count(F.lit(1)).over(whole))
+        rows = settle(rows.filter("least <= held").select("key", "star", "token", "far", "component", "least"), "near")
+    side = ["star", "token"]
+    rows = rows.join(rows.groupBy(*side).agg(F.count(F.lit(1)).alias("holders")), side)
+    rows = rows.withColumn("at", F.row_number().over(whole.orderBy("holders", "token")))
+    rows = rows.withColumn("held", F.count(F.lit(1)).over(whole)).withColumn("least", F.min("least").over(whole))
+    rows = settle(rows.filter("at <= held - least + 1").select(*side, "key", "far", "component", "at", "held"), "prefixes")
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("far", "component", "at", "held")]
+    one, two = (rows.select(*side, F.col("key").alias(x), *of(x)) for x in ("a", "b"))
+    room = F.least("at_a", "at_b") + F.least(F.col("held_a") - F.col("at_a"), F.col("held_b") - F.col("at_b"))
+    near = room >= _needed_apart(F.col("far_a"), F.col("far_b"), t)
+    pairs = one.join(two, side).filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near)
+    return settle(pairs.select("a", "b").distinct(), "candidates")
 
 
 def _merged(parted: DataFrame, met: DataFrame) -> DataFrame:
