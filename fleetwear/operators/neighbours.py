@@ -3,10 +3,11 @@
 Equal vectors are folded first: only the k + 1 smallest ids of a vector can be among anyone's k nearest (ties go to
 the smaller id), and equal queries share one search. The points of every group then form a tree: a cell of more than
 ``block_rows`` points is split among ``fan`` of its own points, level by level, until it is small. The search takes two
-rounds. A query is first compared with the cell it falls into, which bounds how far its neighbours can be; then it
-walks down the tree and leaves out every cell that the bound rules out. A cell is ruled out by the ring of distances
-around its pivot or by the planes between its pivot and the others. Cells and visits are cut into blocks of bounded size, so
-work at a busy cell is many tasks, and no table of cells is held by a task or the driver.
+rounds. A query is first compared with the cell it falls into, which bounds how far its neighbours can be. Then neighbouring
+cells are packed into one row of arrays each, queries too, and every pack of queries meets every pack of points of its group
+in a Cartesian product, which reads the stored packs again and shuffles nothing. Inside a pair of packs a query leaves out the
+cells whose ball of points its bound rules out; the bound falls from pack to pack, and a task hands on no more than the nearest
+rows of each query. So the tables on disk grow with the rows, whatever the number of cells that a query has to visit.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from fleetwear.runtime import settle
 
 BLOCK_ROWS = 2048
 FAN = 32
+POINT_PACK, ASK_PACK = 4096, 2048  # rows of a pack
+PART_ROWS = 65536  # rows of the packs that a task holds
 MAX_DEPTH = 12  # cells that are still large below it are searched in blocks, like any other
 CELL = ["grp", "cell"]
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"  # a cell is named by its way down the tree
@@ -32,10 +36,11 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((x - row) ** 2).sum(axis=1) for row in y], axis=1))
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, keep: int):
+def _nearest(x: np.ndarray, y: np.ndarray, keep: int, bound: np.ndarray | None = None):
     """Per row of ``x`` the ``keep`` nearest rows of ``y``, ties to the earlier: row, place in ``y`` and distance.
 
-    Products of matrices choose candidates within their rounding error; only these get exact distances.
+    Products of matrices choose candidates within their rounding error; only these get exact distances. Rows of ``y``
+    farther than the ``bound`` of a row of ``x`` may be left out.
     """
     middle = y.mean(axis=0)
     xm, ym = x - middle, y - middle
@@ -46,8 +51,12 @@ def _nearest(x: np.ndarray, y: np.ndarray, keep: int):
     for start in range(0, len(x), step):
         part = slice(start, start + step)
         near = xx[part, None] + yy[None, :] - 2.0 * (xm[part] @ ym.T)
-        limit = np.partition(near, keep - 1, axis=1)[:, keep - 1] + slack * (xx[part] + yy.max())
-        row, place = np.nonzero(near <= limit[:, None])
+        error = slack * (xx[part] + yy.max())
+        within = None if bound is None else near <= (bound[part] ** 2 * (1 + 1e-9) + error)[:, None]
+        if within is None or np.count_nonzero(within) > 8 * keep * len(near):
+            closest = np.partition(near, keep - 1, axis=1)[:, keep - 1] + error
+            within = near <= closest[:, None] if within is None else within & (near <= closest[:, None])
+        row, place = np.nonzero(within)
         row += start
         dist = np.empty(len(row))
         for at in range(0, len(row), 50_000):
@@ -78,42 +87,86 @@ def _compare_blocks(need: int):
 def _assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """Rows of one cell dealt to its pivots."""
     if rows.empty:
-        return rows.assign(reach=0.0)[["is_ask", "id", "grp", "cell", "reach"]]
+        return rows[["is_ask", "id", "grp", "cell"]]
     pivots = pivots.sort_values("place")
     d = _distances(np.stack(rows["v"].to_numpy()), np.stack(pivots["v"].to_numpy()))
-    nearest = d.argmin(axis=1)
-    names = pivots["child"].to_numpy()[nearest]
-    return pd.DataFrame({"is_ask": rows["is_ask"].to_numpy(), "id": rows["id"].to_numpy(), "grp": rows["grp"].to_numpy(), "cell": names, "reach": d[np.arange(len(d)), nearest]})
-
-
-def _descend(need: int):
-    def descend(asks: pd.DataFrame, children: pd.DataFrame) -> pd.DataFrame:
-        """The children of one cell that may hold a row within each query's bound, and the bound that they tell."""
-        if asks.empty or children.empty:
-            return asks.drop(columns=["salt"])
-        pivots, lo, hi = np.stack(children["v"].to_numpy()), children["lo"].to_numpy(), children["hi"].to_numpy()
-        names, rows = children["child"].to_numpy(), children["rows"].to_numpy()
-        apart = _distances(pivots, pivots)
-        np.fill_diagonal(apart, np.inf)
-        out = []
-        for start in range(0, len(asks), 512):
-            some = asks.iloc[start : start + 512]
-            d = _distances(np.stack(some["v"].to_numpy()), pivots)
-            # the children with the nearest far ends hold enough rows within the last of these ends
-            ends = np.argsort(d + hi, axis=1)
-            enough = np.cumsum(rows[ends], axis=1) >= need
-            reached = np.take_along_axis(np.take_along_axis(d + hi, ends, axis=1), enough.argmax(axis=1)[:, None], axis=1)[:, 0]
-            bound = np.minimum(some["bound"].to_numpy(), np.where(enough[:, -1], reached, np.inf))
-            ring = np.maximum(d - hi, lo - d)
-            sq = d**2
-            # a row of cell i is no farther from pivot i than from pivot j, so it lies beyond the plane between them
-            slack = 1e-12 * (sq[:, :, None] + sq[:, None, :] + hi[None, :, None] ** 2)
-            plane = ((sq[:, :, None] - sq[:, None, :] - slack) / (2.0 * apart)[None]).max(axis=2)
-            row, child = np.nonzero(np.maximum(ring, plane) <= (bound * (1 + 1e-9) + 1e-12)[:, None])
-            out.append(some.iloc[row].assign(cell=names[child], bound=bound[row]))
-        return pd.concat(out).drop(columns=["salt"])
-
-    return descend
+    names = pivots["child"].to_numpy()[d.argmin(axis=1)]
+    return pd.DataFrame({"is_ask": rows["is_ask"].to_numpy(), "id": rows["id"].to_numpy(), "grp": rows["grp"].to_numpy(), "cell": names})
+
+
+def _parts(x: np.ndarray, bound: np.ndarray, y: np.ndarray, leaf: np.ndarray):
+    """Rows of ``x`` and places in ``y`` to compare: by cell where the bounds rule out half of all, else all at once."""
+    _, code, sizes = np.unique(leaf, return_inverse=True, return_counts=True)
+    by_cell = np.argsort(code, kind="stable")
+    starts = np.cumsum(sizes) - sizes
+    centres = np.add.reduceat(y[by_cell], starts) / sizes[:, None]
+    radius = np.maximum.reduceat(np.sqrt(((y - centres[code]) ** 2).sum(axis=1))[by_cell], starts)
+    xx, cc = (x**2).sum(axis=1)[:, None], (centres**2).sum(axis=1)[None, :]
+    sq = xx + cc - 2.0 * (x @ centres.T) - 1e-14 * (x.shape[1] + 16) * (xx + cc)
+    far = np.sqrt(np.maximum(sq, 0.0)) - radius * (1 + 1e-9) > (bound * (1 + 1e-9) + 1e-12)[:, None]
+    if 2 * (~far @ sizes).sum() > len(x) * len(y):
+        return [(np.arange(len(x)), np.arange(len(y)))]
+    cells = [(np.nonzero(~far[:, c])[0], by_cell[starts[c] : starts[c] + sizes[c]]) for c in range(len(sizes))]
+    return [(rows, places) for rows, places in cells if len(rows)]
+
+
+class _Found:
+    """The nearest rows found so far for the queries of one pack."""
+
+    def __init__(self, asks: pa.Array, bound: np.ndarray, x: np.ndarray, need: int):
+        self.asks, self.bound, self.x, self.need = asks, bound, x, need
+        self.row, self.dist, self.ids, self.tags = np.empty(0, np.int64), np.empty(0), None, None
+
+    def add(self, row: np.ndarray, dist: np.ndarray, ids: pa.Array, tags: pa.Array) -> None:
+        if self.ids is not None:
+            ids, tags = pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.tags, tags])
+        row, dist = np.concatenate([self.row, row]), np.concatenate([self.dist, dist])
+        order = np.lexsort((dist, row))
+        row, dist = row[order], dist[order]
+        last = np.arange(len(row)) - np.searchsorted(row, row, side="left") == self.need - 1
+        reach = np.full(len(self.x), np.inf)
+        reach[row[last]] = dist[last]
+        kept = dist <= reach[row]  # all rows of a tie go on: which of them has the smaller id is told at the end
+        place = pa.array(order[kept])
+        self.row, self.dist, self.ids, self.tags = row[kept], dist[kept], ids.take(place), tags.take(place)
+        self.bound = np.minimum(self.bound, reach)
+
+    def rows(self) -> list[pa.Array]:
+        return [self.asks.take(pa.array(self.row)), pa.array(self.dist), self.ids, self.tags]
+
+
+def _matrix(values: pa.Array, rows: int) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _scan(need: int, counted: bool = False):
+    """Pairs of packs, all of one pack of queries after each other, to found rows; or to the number of pairs of rows looked at."""
+
+    def scan(batches):
+        no, found = None, None
+        for batch in batches:
+            get = dict(zip(batch.schema.names, batch.columns))
+            seen = []
+            for i in range(batch.num_rows):
+                cell = lambda name: get[name][i].values  # noqa: B023
+                if no != get["no"][i].as_py():
+                    if found is not None and found.ids is not None and not counted:
+                        yield pa.RecordBatch.from_arrays(found.rows(), names=["ask", "dist", "id", "tag"])
+                    no, asks = get["no"][i].as_py(), cell("ask")
+                    found = _Found(asks, cell("bound").to_numpy(zero_copy_only=False), _matrix(cell("ask_v"), len(asks)), need)
+                ids, tags = cell("id"), cell("tag")
+                y = _matrix(cell("v"), len(ids))
+                for rows, places in _parts(found.x, found.bound, y, cell("leaf").to_numpy(zero_copy_only=False)):
+                    seen.append(len(rows) * len(places))
+                    row, place, dist = _nearest(found.x[rows], y[places], min(need, len(places)), found.bound[rows])
+                    at = pa.array(places[place])
+                    found.add(rows[row], dist, ids.take(at), tags.take(at))
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(seen)], pa.int64())], names=["n"])
+        if found is not None and found.ids is not None and not counted:
+            yield pa.RecordBatch.from_arrays(found.rows(), names=["ask", "dist", "id", "tag"])
+
+    return scan
 
 
 def _salted(rows: DataFrame, name: str, block_rows: int, few: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +178,7 @@ def _salted(rows: DataFrame, name: str, block_rows: int, few: DataFrame) -> tupl
 
 
 def _tree(points: DataFrame, asks: DataFrame, block_rows: int, fan: int):
-    """``(is_ask, id, grp, cell, v)`` of points and queries in their leaves, and the children of every split cell.
+    """``(is_ask, id, grp, cell, v)`` of points and queries in their leaves; None if no cell had to be split.
 
     One round a level; only cells above ``block_rows`` points go on. A pivot falls to itself, so every child is smaller.
     """
@@ -134,7 +187,7 @@ def _tree(points: DataFrame, asks: DataFrame, block_rows: int, fan: int):
     live = points.select(F.lit(False).alias("is_ask"), "id", "grp", root, "v", "lead").unionByName(
         asks.select(F.lit(True).alias("is_ask"), F.col("ask").alias("id"), "grp", root, "v", F.lit(False).alias("lead"))
     )
-    leaves, levels = [], []
+    leaves = []
     for _ in range(MAX_DEPTH):
         counts = live.filter("NOT is_ask").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("different"))
         wanted = F.least(F.lit(fan), F.ceil(2 * F.col("n") / block_rows)).alias("wanted")  # leaves of about half a block
@@ -150,16 +203,13 @@ def _tree(points: DataFrame, asks: DataFrame, block_rows: int, fan: int):
         pivots = settle(drawn.select(*CELL, "place", "v", child), "pivots")
         dealt, copies = _salted(live, "id", block_rows, pivots)
         block = [*CELL, "salt"]
-        schema = f"is_ask boolean, id {id_type}, grp {grp_type}, cell string, reach double"
+        schema = f"is_ask boolean, id {id_type}, grp {grp_type}, cell string"
         placed = dealt.groupBy(*block).cogroup(copies.groupBy(*block)).applyInPandas(_assign, schema)
         placed = settle(live.select("is_ask", "id", "v", "grp", "lead").join(placed, ["is_ask", "id", "grp"]), "level")
-        rings = placed.filter("NOT is_ask").groupBy("grp", F.col("cell").alias("child")).agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        levels.append(settle(pivots.drop("place").join(rings, ["grp", "child"]), "children"))
-        live = placed.drop("reach")
-    if not levels:
-        return live, levels
-    leaves = reduce(DataFrame.unionByName, [*leaves, live]).select("is_ask", "id", "grp", "cell", "v")
-    return settle(leaves, "leaves"), levels
+        live = placed
+    if not leaves:
+        return None
+    return reduce(DataFrame.unionByName, [*leaves, live]).select("is_ask", "id", "grp", "cell", "v")
 
 
 def _compared(cells: DataFrame, visits: DataFrame, need: int, block_rows: int, schema: str) -> DataFrame:
@@ -183,40 +233,45 @@ def _best(found: DataFrame, need: int) -> DataFrame:
     return found.withColumn("_n", order).filter(F.col("_n") <= need).drop("_n")
 
 
-def _further_visits(asks: DataFrame, first: DataFrame, levels: list[DataFrame], need: int, block_rows: int) -> DataFrame:
-    """``ask, v, grp, cell``: leaves other than its own that a query has to visit.
+def _packs(rows: DataFrame, key: str, others: list[str], pack_rows: int) -> DataFrame:
+    """One row a pack: ``grp``, arrays of ``key``, ``others`` and ``leaf`` ordered by ``key``, and the vectors as one array ``v``.
 
-    ``asks`` has ``ask, grp, home, v``; ``first`` the rows found at home, whose ``need``-th distance is the bound.
+    A pack holds about ``pack_rows`` rows of cells that follow each other in the tree; a larger cell is dealt to several packs.
     """
+    counts = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("grp").orderBy("cell")) - F.col("n")  # one row a cell
+    places = settle(counts.select(*CELL, "n", before.alias("leaf"), F.ceil(F.col("n") / pack_rows).alias("parts")), "places")
+    pack = [F.floor(F.col("leaf") / pack_rows).alias("pack"), F.pmod(F.xxhash64(key), "parts").alias("part")]
+    entry = F.sort_array(F.collect_list(F.struct(key, *others, "leaf", "v"))).alias("p")
+    packs = rows.join(places, CELL).groupBy("grp", *pack).agg(entry)
+    packs = packs.select("grp", *[F.col("p")[c].alias(c) for c in (key, *others, "leaf")], F.flatten(F.col("p")["v"]).alias("v"))
+    total = places.agg(F.sum("n")).first()[0] or 0
+    tasks = rows.sparkSession.sparkContext.defaultParallelism if key == "ask" else 1
+    return settle(packs.repartition(max(tasks, -(-total // PART_ROWS))), "packs")
+
+
+def _meetings(home: DataFrame, cells: DataFrame, need: int, block_rows: int, schema: str) -> DataFrame:
+    """Every pack of queries with every pack of points of its group; ``bound`` is the ``need``-th distance in a query's own cell."""
+    first = _best(_compared(cells, home, need, block_rows, schema), need)
     bound = first.groupBy("ask").agg(F.when(F.count(F.lit(1)) >= need, F.max("dist")).alias("bound"))
-    front = asks.join(bound, "ask", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    front = settle(front.withColumn("cell", F.lit("")), "front")
-    types = {f.name: f.dataType.simpleString() for f in front.schema.fields}
-    done = []
-    for children in levels:
-        split = children.select(*CELL).distinct()
-        done.append(front.join(split, CELL, "left_anti"))
-        dealt, copies = _salted(front.join(split, CELL, "left_semi"), "ask", block_rows, children)
-        block, names = [*CELL, "salt"], [c for c in dealt.columns if c != "salt"]
-        schema = ", ".join(f"{c} {types[c]}" for c in names)
-        front = settle(dealt.groupBy(*block).cogroup(copies.groupBy(*block)).applyInPandas(_descend(need), schema), "front")
-    reached = reduce(DataFrame.unionByName, [*done, front])
-    return reached.filter(F.col("cell") != F.col("home")).select("ask", "v", *CELL)
+    asks = home.join(bound, "ask", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    asks = _packs(asks, "ask", ["bound"], ASK_PACK).drop("leaf").withColumnsRenamed({"v": "ask_v", "grp": "of"})
+    asks = settle(asks.withColumn("no", F.monotonically_increasing_id()), "ask-packs")
+    points = _packs(cells, "id", ["tag"], POINT_PACK)
+    # not an equality, which would shuffle the packs of a group to one task
+    same = (F.col("of") <= F.col("grp")) & (F.col("of") >= F.col("grp"))
+    return asks.hint("shuffle_replicate_nl").join(points, same)
 
 
 def _search(points: DataFrame, asks: DataFrame, need: int, block_rows: int, fan: int, schema: str):
-    """The ``need`` best rows of every query, and the cells with the visits of both rounds."""
-    placed, levels = _tree(points, asks, block_rows, min(fan, len(DIGITS)))
-    if not levels:
-        cells, home = points.withColumn("cell", F.lit("")), asks.withColumn("cell", F.lit(""))
-        return _best(_compared(cells, home, need, block_rows, schema), need), cells, [home]
-    home = placed.filter("is_ask").select(F.col("id").alias("ask"), *CELL, "v")
+    """The points in their cells, the queries in theirs, and the packs that meet (None if there is one cell a group)."""
+    placed = _tree(points, asks, block_rows, min(fan, len(DIGITS)))
+    if placed is None:
+        return points.withColumn("cell", F.lit("")), asks.withColumn("cell", F.lit("")), None
+    home = settle(placed.filter("is_ask").select(F.col("id").alias("ask"), *CELL, "v"), "home")
     tags = points.select("id", "grp", "tag")
     cells = settle(placed.filter("NOT is_ask").select("id", *CELL, "v").join(tags, ["id", "grp"]), "cells")
-    first = settle(_best(_compared(cells, home, need, block_rows, schema), need), "first")
-    further = settle(_further_visits(home.withColumnRenamed("cell", "home"), first, levels, need, block_rows), "further")
-    found = first.unionByName(_compared(cells, further, need, block_rows, schema))
-    return _best(found, need), cells, [home, further]
+    return cells, home, _meetings(home, cells, need, block_rows, schema)
 
 
 def _folded(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None, tag: str | None):
@@ -253,8 +308,10 @@ def knn_lists(
     ``same`` restricts neighbours to rows with an equal value in that column; ``tag`` is a column of ``base`` to return.
     """
     points, rows, asks = _folded(queries, base, key, vec, k, same, tag)
-    best, _, _ = _search(points, asks, k + 1, block_rows, fan, _schema(points, asks))
-    best = best.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "tag"))).alias("near"))
+    schema = _schema(points, asks)
+    cells, home, meetings = _search(points, asks, k + 1, block_rows, fan, schema)
+    found = _compared(cells, home, k + 1, block_rows, schema) if meetings is None else meetings.mapInArrow(_scan(k + 1), schema)
+    best = _best(found, k + 1).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "tag"))).alias("near"))
     lists = rows.join(asks, ["grp", "v"]).select("id", "ask").join(best, "ask")
     others = F.filter("near", lambda n: n["id"] != F.col("id"))
     return lists.select(F.col("id").alias(key), F.slice(others, 1, k).alias("near"))
@@ -263,14 +320,15 @@ def knn_lists(
 def compared_pairs(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None = None, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """One row: ``compared``, pairs whose distance the search looks at, and ``pairs``, all pairs within the groups."""
     points, _, asks = _folded(queries, base, key, vec, k, same, None)
-    _, cells, rounds = _search(points, asks, k + 1, block_rows, fan, _schema(points, asks))
-    visits = reduce(DataFrame.unionByName, [v.select("ask", *CELL) for v in rounds])
+    cells, home, meetings = _search(points, asks, k + 1, block_rows, fan, _schema(points, asks))
 
     def product(left: DataFrame, right: DataFrame, by: list[str], name: str) -> DataFrame:
         both = left.groupBy(*by).count().join(right.groupBy(*by).agg(F.count(F.lit(1)).alias("others")), by)
         return both.select(F.lit(name).alias("name"), (F.col("count") * F.col("others")).alias("n"))
 
-    sums = product(visits, cells, CELL, "compared").unionByName(product(asks, points, ["grp"], "pairs"))
+    sums = product(home, cells, CELL, "compared").unionByName(product(asks, points, ["grp"], "pairs"))
+    if meetings is not None:
+        sums = sums.unionByName(meetings.mapInArrow(_scan(k + 1, counted=True), "n bigint").select(F.lit("compared").alias("name"), "n"))
     return sums.agg(*[F.sum(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("compared", "pairs")])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from fleetwear import runtime
 from fleetwear.operators import neighbours
 
 
@@ -45,3 +46,19 @@ def test_queries_apart_from_the_points(spark):
         assert found[i].tolist() == np.lexsort((np.arange(len(x)), d))[:3].tolist(), i
     few = neighbours.knn(asks, rows.filter("id < 2"), "id", "features", 3, block_rows=1, fan=2)
     assert few.groupBy("id").count().filter("count <> 2").count() == 0
+
+
+def test_tables_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """Where no bound helps every query visits every cell; what is stored stays a multiple of the rows, and the lists are exact."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(2500, 16)), 4)
+    rows = _rows(spark, range(len(x)), x).repartition(1)
+    monkeypatch.setattr(runtime, "scratch_dir", lambda spark: str(tmp_path))
+    got = neighbours.knn(rows, rows, "id", "features", 4, block_rows=64).toPandas().sort_values(["id", "rank"])
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert stored < 20 * x.nbytes, stored
+    found = got["neighbour"].to_numpy().reshape(-1, 4)
+    for i in range(0, len(x), 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert found[i].tolist() == np.lexsort((np.arange(len(x)), d))[:4].tolist(), i
