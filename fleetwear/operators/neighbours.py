@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.runtime import settle
@@ -292,6 +292,31 @@ def _schema(points: DataFrame, asks: DataFrame) -> str:
     return f"ask {of(asks, 'ask')}, dist double, id {of(points, 'id')}, tag {of(points, 'tag')}"
 
 
+def nearest_lists(
+    queries: DataFrame,
+    base: DataFrame,
+    key: str,
+    vec: str,
+    need: int,
+    same: str | None = None,
+    tag: str | None = None,
+    block_rows: int = BLOCK_ROWS,
+    fan: int = FAN,
+) -> DataFrame:
+    """``key, near``: the ``need`` nearest rows of ``base``, a row of the same key included, as ``(dist, id, tag)``."""
+    points, rows, asks = _folded(queries, base, key, vec, need - 1, same, tag)
+    schema = _schema(points, asks)
+    cells, home, meetings = _search(points, asks, need, block_rows, fan, schema)
+    found = _compared(cells, home, need, block_rows, schema) if meetings is None else meetings.mapInArrow(_scan(need), schema)
+    best = _best(found, need).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "tag"))).alias("near"))
+    return rows.join(asks, ["grp", "v"]).select("id", "ask").join(best, "ask").select(F.col("id").alias(key), "near")
+
+
+def others(near: Column, key: Column, k: int) -> Column:
+    """Of a list of at least ``k + 1`` nearest rows the first ``k`` that have another key."""
+    return F.slice(F.filter(F.slice(near, 1, k + 1), lambda n: n["id"] != key), 1, k)
+
+
 def knn_lists(
     queries: DataFrame,
     base: DataFrame,
@@ -307,14 +332,8 @@ def knn_lists(
 
     ``same`` restricts neighbours to rows with an equal value in that column; ``tag`` is a column of ``base`` to return.
     """
-    points, rows, asks = _folded(queries, base, key, vec, k, same, tag)
-    schema = _schema(points, asks)
-    cells, home, meetings = _search(points, asks, k + 1, block_rows, fan, schema)
-    found = _compared(cells, home, k + 1, block_rows, schema) if meetings is None else meetings.mapInArrow(_scan(k + 1), schema)
-    best = _best(found, k + 1).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "tag"))).alias("near"))
-    lists = rows.join(asks, ["grp", "v"]).select("id", "ask").join(best, "ask")
-    others = F.filter("near", lambda n: n["id"] != F.col("id"))
-    return lists.select(F.col("id").alias(key), F.slice(others, 1, k).alias("near"))
+    lists = nearest_lists(queries, base, key, vec, k + 1, same, tag, block_rows, fan)
+    return lists.select(key, others(F.col("near"), F.col(key), k).alias("near"))
 
 
 def compared_pairs(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, same: str | None = None, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:

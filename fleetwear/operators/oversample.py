@@ -5,17 +5,33 @@ All draws come from md5 of the seed, the base row and the copy number, so result
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwear.functions.columns import between, hash_number, hash_text, hash_unit
-from fleetwear.operators.neighbours import knn_lists
+from fleetwear.operators.neighbours import nearest_lists, others
 from fleetwear.operators.splits import hash_cut
 from fleetwear.runtime import settle
 
 BORDER_NEIGHBOURS = 10
 
 
+class Searches:
+    """Neighbour lists of one table, searched and stored once for all methods and multipliers that ask for them."""
+
+    def __init__(self):
+        self._lock, self._stored = Lock(), {}
+
+    def lists(self, by: tuple, search: Callable[[], DataFrame]) -> DataFrame:
+        with self._lock:
+            if by not in self._stored:
+                self._stored[by] = settle(search(), "nearest")
+            return self._stored[by]
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -70,16 +86,18 @@ def foreign_share(near: Column, label: Column) -> Column:
     return F.size(F.filter(near, lambda n: n["tag"] != label))
 
 
-def _bases(rows: DataFrame, goal: DataFrame, key, label, features, method, k, seed) -> DataFrame | None:
+def _bases(rows: DataFrame, goal: DataFrame, key, label, features, method, k, seed, searches: Searches, by: tuple) -> DataFrame | None:
     """Rows that get synthetic ones, with ``copies``; None when the method finds nothing to work with."""
     wanted = rows.join(goal, label)
     if method == "smote":
         per_class = goal.withColumn("bases", F.col("rows"))
         return _spread(wanted.select(key, label), per_class, key, label, seed)
     reach = BORDER_NEIGHBOURS if method == "borderline" else k
-    around = knn_lists(wanted, rows, key, features, reach, tag=label)
+    most = max(BORDER_NEIGHBOURS, k)  # one search serves both methods
+    around = searches.lists(("around", most, *by), lambda: nearest_lists(wanted, rows, key, features, most + 1, tag=label))
     judged = wanted.select(key, label, "new").join(around, key)
-    judged = settle(judged.select(key, label, "new", foreign_share(F.col("near"), F.col(label)).alias("foreign")), "judged")
+    foreign = foreign_share(others(F.col("near"), F.col(key), reach), F.col(label))
+    judged = settle(judged.select(key, label, "new", foreign.alias("foreign")), "judged")
     if method == "borderline":
         danger = judged.filter((F.col("foreign") * 2 >= reach) & (F.col("foreign") < reach))
         per_class = settle(danger.groupBy(label).agg(F.count(F.lit(1)).alias("bases")).join(goal, label), "danger")
@@ -92,9 +110,13 @@ def _bases(rows: DataFrame, goal: DataFrame, key, label, features, method, k, se
 
 
 def synthesise(
-    df: DataFrame, key: str, label: str, features: str, method: str, strategy: str, m: float, k: int, seed: int
+    df: DataFrame, key: str, label: str, features: str, method: str, strategy: str, m: float, k: int, seed: int, searches: Searches | None = None
 ) -> DataFrame | None:
-    """Only the new rows, or None when the method cannot add any and the input should stay as it is."""
+    """Only the new rows, or None when the method cannot add any and the input should stay as it is.
+
+    ``searches`` keeps neighbour lists for further calls on the same rows, key, label and features.
+    """
+    searches = searches or Searches()
     rows = df.select(key, label, features)
     goal = settle(targets(class_counts(rows, label), label, strategy, m).filter("new > 0"), "goal")
     if strategy == "rarest":
@@ -104,12 +126,15 @@ def synthesise(
         k = min(k, row["rows"] - 1)
     elif goal.isEmpty() or not goal.filter(F.col("rows") <= k).isEmpty():
         return None
-    bases = _bases(rows, goal, key, label, features, method, k, seed)
+    # which classes get new rows does not depend on m, except under ``scale``
+    by = (strategy, m if strategy == "scale" else None)
+    bases = _bases(rows, goal, key, label, features, method, k, seed, searches, by)
     if bases is None:
         return None
     members = rows.join(goal.select(label), label)
     # neighbours are sought among all members: a base that gets no copy may still be a partner
-    near = knn_lists(members, members, key, features, k, same=label)
+    near = searches.lists(("class", k, *by), lambda: nearest_lists(members, members, key, features, k + 1, same=label))
+    near = near.select(key, others(F.col("near"), F.col(key), k).alias("near"))
     digest = hash_text(seed, F.col(key), F.col("_j"))
     drawn = (
         bases.filter("copies > 0")
@@ -142,20 +167,23 @@ def oversample(
     k: int = 5,
     seed: int = 42,
     features: str = "features",
+    searches: Searches | None = None,
 ) -> DataFrame:
     """Input rows and synthetic rows: ``key, synth_id, label, features, is_synthetic``.
 
     Synthetic rows keep the key of their base row and are told apart by ``synth_id``. A multiplier of 1, or a
     method that cannot add rows (a class with too few members, no foreign neighbours), gives the input back.
-    ``mix`` adds the new rows of all three methods, each balancing the classes, ``m - 1`` times over.
+    ``mix`` adds the new rows of all three methods, each balancing the classes, ``m - 1`` times over. Calls on the same rows may
+    share their neighbour ``searches``.
     """
     plain = _original(df, key, label, features)
+    searches = searches or Searches()
     if m == 1 and strategy != "not_majority":
         return plain
     if method == "mix":
         parts = [
             part
-            for part in (synthesise(df, key, label, features, name, "not_majority", m, k, seed) for name in ("smote", "adasyn", "borderline"))
+            for part in (synthesise(df, key, label, features, name, "not_majority", m, k, seed, searches) for name in ("smote", "adasyn", "borderline"))
             if part is not None
         ]
         if not parts:
@@ -168,7 +196,7 @@ def oversample(
         return plain.unionByName(new)
     if method not in ("smote", "borderline", "adasyn"):
         raise ValueError(f"unknown method {method}")
-    new = synthesise(df, key, label, features, method, strategy, m, k, seed)
+    new = synthesise(df, key, label, features, method, strategy, m, k, seed, searches)
     return plain if new is None else plain.unionByName(new)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetwear.operators.masking import stack
 from fleetwear.operators.metrics import class_report, confusion, flat_report
 from fleetwear.operators.models import BOOSTERS, booster, fit, fit_student, fit_together, predict, predict_all, teacher_scores
-from fleetwear.operators.oversample import oversample
+from fleetwear.operators.oversample import Searches, oversample
 from fleetwear.operators.scaling import minmax_apply, minmax_fit
 from fleetwear.operators.splits import stratified_split, test_rows, train_rows
 from fleetwear.runtime import settle
@@ -136,9 +136,11 @@ def augmentation_study(
 ) -> DataFrame:
     """``method, multiplier, model, accuracy, f1_macro`` for every cell of the grid."""
 
+    searches = Searches()  # neighbours depend on neither the method nor the multiplier
+
     def rows(cell: tuple[str, int]) -> DataFrame:
         method, m = cell
-        return settle(oversample(train, key, "label", method, "all", m, seed=seed).select("label", "features"), "augmented")
+        return settle(oversample(train, key, "label", method, "all", m, seed=seed, searches=searches).select("label", "features"), "augmented")
 
     cells = [(method, m) for method in methods for m in multipliers]
     sets = dict(zip(cells, _together(rows, cells), strict=True))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from fleetwear.functions import columns as C
@@ -158,3 +159,18 @@ def test_student_of_logits(spark):
     assert fitted.filter("label != prediction").count() == 0
     with pytest.raises(ValueError):
         models.fit_student(table)
+
+
+def test_one_search_serves_all_methods(spark, monkeypatch):
+    """The three methods of a mix, and further multipliers, share two searches; the rows are those of separate calls."""
+    seen = []
+    search = oversample.nearest_lists
+    monkeypatch.setattr(oversample, "nearest_lists", lambda *a, **kw: seen.append(1) or search(*a, **kw))
+    rows = spark.createDataFrame([(i, int(i % 3 == 0), [float(i * 7 % 11), float(i * 5 % 13)]) for i in range(30)], "id long, label int, features array<double>")
+    searches = oversample.Searches()
+    mixed = oversample.oversample(rows, "id", "label", "mix", "all", 3, k=3, searches=searches)
+    oversample.oversample(rows, "id", "label", "mix", "all", 5, k=3, searches=searches)
+    assert len(seen) == 2
+    parts = [oversample.synthesise(rows, "id", "label", "features", method, "not_majority", 3, 3, 42) for method in ("smote", "adasyn", "borderline")]
+    want = sum(part.count() for part in parts if part is not None)
+    assert mixed.filter("is_synthetic").count() == 2 * want
