@@ -70,8 +70,8 @@ def smallest(values: Column, k: int) -> Column:
 
 def mask(features: Column, perm: Column, k) -> Column:
     """Features with the first ``k`` positions of ``perm`` set to the missing mark."""
-    hidden = first_k(perm, k)
-    return F.transform(features, lambda v, i: F.when(F.array_contains(hidden, i), F.lit(MASKED)).otherwise(v))
+    cover = lambda hidden: F.transform(features, lambda v, i: F.when(F.array_contains(hidden, i), F.lit(MASKED)).otherwise(v))
+    return _once(first_k(perm, k), cover)
 
 
 def mask_ranked(features: Column, rank: Column, k, width: int) -> Column:

@@ -174,3 +174,10 @@ def test_one_search_serves_all_methods(spark, monkeypatch):
     parts = [oversample.synthesise(rows, "id", "label", "features", method, "not_majority", 3, 3, 42) for method in ("smote", "adasyn", "borderline")]
     want = sum(part.count() for part in parts if part is not None)
     assert mixed.filter("is_synthetic").count() == 2 * want
+
+
+def test_mask_draws_its_order_once_a_row(spark):
+    """Also an order that differs at every evaluation hides exactly k positions."""
+    values, order = F.array(*[F.lit(i + 0.5) for i in range(14)]), F.shuffle(F.sequence(F.lit(0), F.lit(13)))
+    rows = spark.range(200).select(C.mask(values, order, 5).alias("v"))
+    assert rows.filter(F.size(F.filter("v", lambda v: v == -1.0)) != 5).count() == 0
