@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCENARIO_LAYOUT = ["source", "scenario", "phase"]
+OPEN_FILES = 16  # files a task may write at a time
+_OPEN_FILES_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+_setting = Lock()
+
+
+@contextmanager
+def _files_side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Tasks keep a file open for each folder instead of sorting all their rows by folder; beyond ``OPEN_FILES`` they sort."""
+    with _setting:
+        before = spark.conf.get(_OPEN_FILES_CONF)
+        spark.conf.set(_OPEN_FILES_CONF, str(max(OPEN_FILES, int(before))))
+        try:
+            yield
+        finally:
+            spark.conf.set(_OPEN_FILES_CONF, before)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -16,9 +33,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    if not partition_by:
+        writer.save(path)
+        return
+    with _files_side_by_side(df.sparkSession):
+        writer.partitionBy(*partition_by).save(path)
 
 
 def write_scenarios(df: DataFrame, root: str, source: str, phase: str, mode: str = "append") -> None:

@@ -181,3 +181,15 @@ def test_mask_draws_its_order_once_a_row(spark):
     values, order = F.array(*[F.lit(i + 0.5) for i in range(14)]), F.shuffle(F.sequence(F.lit(0), F.lit(13)))
     rows = spark.range(200).select(C.mask(values, order, 5).alias("v"))
     assert rows.filter(F.size(F.filter("v", lambda v: v == -1.0)) != 5).count() == 0
+
+
+def test_partitioned_writes_keep_files_open(spark, tmp_path, monkeypatch):
+    """Rows are not sorted by folder in the tasks; the setting ends with the write."""
+    seen, save, name = [], DataFrameWriter.save, "spark.sql.maxConcurrentOutputFileWriters"
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, path: seen.append(spark.conf.get(name)) or save(self, path))
+    before = spark.conf.get(name)
+    rows = spark.range(100).select("id", (F.col("id") % 20).cast("int").alias("scenario"))
+    writers.write_scenarios(rows, str(tmp_path / "w"), "RAW", "train")
+    assert int(seen[0]) >= 4 and spark.conf.get(name) == before
+    back = readers.read_scenarios(spark, str(tmp_path / "w"), "RAW", "train", 7)
+    assert sorted(r["id"] for r in back.collect()) == [7, 27, 47, 67, 87]
