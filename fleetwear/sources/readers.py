@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fleetwear.schema import reading_schema
 
+WHITE = "\t\n\x0b\f\r"  # what counts as a blank in sensor text, beside the blank itself
 IMPORTANCE_SCHEMA = "feature string, importance double"
 TAG_MAP_TYPE = "map<string,map<string,string>>"
 
@@ -20,11 +21,13 @@ def read_sensor_text(spark: SparkSession, paths: str | Sequence[str], sensors: i
     Runs of blanks count as one, a missing or unreadable field becomes null.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select(
-        F.split(F.trim(F.col("value")), r"\s+").alias("p"),
+    # Lines without a first field are told from the text, and lines are cut at single blanks: a pattern would be compiled for each.
+    lines = spark.read.text(paths).filter(~F.trim("value").rlike(r"^(\s|$)"))
+    blanks = F.translate("value", WHITE, " " * len(WHITE))
+    lines = lines.select(
+        F.array_remove(F.split(blanks, " "), "").alias("p"),
         F.regexp_extract(F.col("_metadata.file_path"), ".*train_([A-Za-z]+[0-9]+)", 1).alias("dataset"),
     )
-    lines = lines.filter(F.element_at("p", 1) != "")
     fields = [
         F.try_element_at("p", F.lit(place)).try_cast(field.dataType).alias(field.name)
         for place, field in enumerate(reading_schema(sensors).fields, start=1)

@@ -193,3 +193,14 @@ def test_partitioned_writes_keep_files_open(spark, tmp_path, monkeypatch):
     assert int(seen[0]) >= 4 and spark.conf.get(name) == before
     back = readers.read_scenarios(spark, str(tmp_path / "w"), "RAW", "train", 7)
     assert sorted(r["id"] for r in back.collect()) == [7, 27, 47, 67, 87]
+
+
+def test_sensor_text_is_cut_once(spark, tmp_path):
+    """Lines are cut once, at runs of any blanks; lines without a first field are left out."""
+    folder = tmp_path / "train_FD007"
+    folder.mkdir()
+    (folder / "a.txt").write_bytes(b"  1\t 2  0.5 \n\n   \n\t3 4 5\n6 x\x0b7\f \n")
+    rows = readers.read_sensor_text(spark, str(folder), 2)
+    got = rows.select("dataset", "unit", "cycle", "set1", "set2").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [("FD007", 1, 2, 0.5, None), ("FD007", 6, None, 7.0, None)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
