@@ -110,22 +110,25 @@ def _sketch(documents: DataFrame, size: int, text_col: str) -> np.ndarray:
         for frame in frames:
             for raw in frame["counts"]:
                 sums += np.frombuffer(zlib.decompress(raw), np.uint32)
-        yield pd.DataFrame({"part": [key[0]], "counts": [sums.tobytes()]})
+        yield pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(sums.tobytes(), 1)]})
 
     schema = "part int, counts binary"
     rows = documents.select(text_col).mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()
     out = np.zeros(total, np.uint64)
     for part, raw in rows:
-        out[part * _PART : (part + 1) * _PART] = np.frombuffer(raw, np.uint64)
+        out[part * _PART : (part + 1) * _PART] = np.frombuffer(zlib.decompress(raw), np.uint64)
     return out
 
 
 def _steps(sketch: np.ndarray) -> np.ndarray:
     """The frequency step of each counter: in quarters of the spread above the median, then eight for each doubling."""
     usual = np.median(sketch)
-    above = (sketch - usual) / (np.sqrt(usual) + 1)
-    fine, coarse = 1 + np.floor(4 * above), 65 + np.floor(8 * np.log2(np.maximum(above, 16) / 16))
-    return np.where(above <= 0, 0, np.where(above < 16, fine, coarse)).clip(0, 255).astype(np.uint8)
+    steps = np.empty(len(sketch), np.uint8)
+    for start in range(0, len(sketch), _PART):  # the driver holds one table, not one for each operation
+        above = (sketch[start : start + _PART] - usual) / (np.sqrt(usual) + 1)
+        fine, coarse = 1 + np.floor(4 * above), 65 + np.floor(8 * np.log2(np.maximum(above, 16) / 16))
+        steps[start : start + _PART] = np.where(above <= 0, 0, np.where(above < 16, fine, coarse)).clip(0, 255)
+    return steps
 
 
 def probe_base(n, t: int):

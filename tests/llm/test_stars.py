@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,17 @@ def test_copies_that_cannot_be_similar_do_not_meet(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
     assert [got[k] for k in range(1501)] == plain.reachable([plain.shingles(t, 5) for t in texts], 80)
     assert met[0].count() <= 1500
+
+
+def test_steps_hold_one_table():
+    """The driver works on the counters piece by piece: at most the copy that the median takes, and the steps."""
+    import tracemalloc
+
+    sketch = np.random.default_rng(3).geometric(0.02, jaccard_join._PART * 16).astype(np.uint64)
+    tracemalloc.start()
+    steps = jaccard_join._steps(sketch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sketch.nbytes, peak / sketch.nbytes
+    above = (sketch - np.median(sketch)) / (np.sqrt(np.median(sketch)) + 1)
+    assert (steps[above <= 0] == 0).all() and (np.diff(steps[np.argsort(above)].astype(int)) >= 0).all()
