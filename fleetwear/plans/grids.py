@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetwear.operators.forests import BINS, Forest, fit_forests
 from fleetwear.operators.masking import stack
 from fleetwear.operators.metrics import class_report, confusion, flat_report
-from fleetwear.operators.models import BOOSTERS, booster, fit, fit_student, fit_together, predict, predict_all, teacher_scores
+from fleetwear.operators.models import BOOSTERS, booster, build_estimator, fit, fit_student, fit_together, predict, predict_all, teacher_scores
 from fleetwear.operators.oversample import Searches, oversample
 from fleetwear.operators.scaling import minmax_apply, minmax_fit
 from fleetwear.operators.splits import stratified_split, test_rows, train_rows
@@ -22,12 +24,22 @@ from fleetwear.runtime import settle
 from fleetwear.sources.writers import save_model
 
 FITS_AT_ONCE = 4
+FOLD_ABOVE = 1_000_000  # training rows above which forests are grown on folded rows
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _folded_forests(train: DataFrame, sets: Mapping[int, Sequence[int]], params: dict | None = None, seed: int = 42, **_) -> dict[int, PipelineModel] | None:
+    """The forests of ``sets`` grown together on folded rows, or none where rows are few or ``params`` asks for what only Spark's forests have."""
+    forest = build_estimator("random_forest", params, seed=seed)
+    if set(params or {}) - {"numTrees", "maxDepth", "maxBins"} or forest.getMaxBins() > BINS or train.count() <= FOLD_ABOVE:
+        return None
+    cfg = Forest(forest.getNumTrees(), forest.getMaxDepth(), forest.getMaxBins(), seed)
+    return {k: PipelineModel(stages=[model]) for k, model in fit_forests(train, sets, cfg).items()}
+
+
 def train_scenarios(
     name: str,
     train: DataFrame,
@@ -39,13 +51,17 @@ def train_scenarios(
 ):
     """Fit one model per scenario; returns ``{k: model}`` and the class report of each on its validation rows.
 
-    ``train`` and ``valid`` hold every scenario (``scenario, label, features``) and are stored once.
+    ``train`` and ``valid`` hold every scenario (``scenario, label, features``) and are stored once. Forests of many rows are grown
+    together on folded rows (``operators.forests``); other models are fitted one after another.
     """
-    train, valid = settle(train, "train"), settle(valid, "valid")
+    used = ["scenario", "label", "features"]
+    train, valid = settle(train.select(*used), "train"), settle(valid.select(*used), "valid")
     pick = stack if stacked else lambda rows, k: rows.filter(F.col("scenario") == k)
+    sets = {k: range(k + 1) if stacked else [k] for k in ks}
+    together = _folded_forests(train, sets, **fit_options) if name == "random_forest" else None
     models, scored = {}, []
     for k in ks:
-        model = fit(name, pick(train, k), pick(valid, k), **fit_options)
+        model = together[k] if together else fit(name, pick(train, k), pick(valid, k), **fit_options)
         models[k] = model
         if save_to:
             save_model(model, f"{save_to}/scen_{k}")
