@@ -93,8 +93,9 @@ def _values(rows: DataFrame) -> Column:
 
 
 def _columns(values: Column, width: int) -> list[Column]:
-    """The features one by one; a missing one is 0, as in an ML vector made of the array."""
-    return [F.coalesce(F.get(values, F.lit(i)).cast("double"), F.lit(0.0)).alias(f"f{i}") for i in range(width)]
+    """The features one by one; a missing one is an error, as in an ML vector made of the array."""
+    missing = F.raise_error(F.lit("a feature is missing"))
+    return [F.coalesce(F.get(values, F.lit(i)).cast("double"), missing).alias(f"f{i}") for i in range(width)]
 
 
 def bin_borders(rows: DataFrame, width: int, bins: int, seed: int) -> list[np.ndarray]:
@@ -209,7 +210,7 @@ def _level(blocks: DataFrame, grown: dict, wanted: dict, sets: Mapping[int, Sequ
 def fit_forests(rows: DataFrame, sets: Mapping[int, Sequence[int]], cfg: Forest) -> dict[int, ForestModel]:
     """One forest for each model of ``sets``, which names its scenarios, on ``scenario, label, features``; all grown by the same jobs.
 
-    Labels are 0 and up. As Spark's forests do, it refuses rows without a label or features and features that are not numbers.
+    Labels are 0 and up. As Spark's forests do, it refuses rows without a label, and features that are missing or not numbers.
     """
     values = _values(rows)
     first = rows.select(F.size(values).alias("n")).first()

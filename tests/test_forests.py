@@ -62,8 +62,8 @@ def test_many_rows_are_fitted_together(spark, monkeypatch, tmp_path):
     assert len(fits) == 2  # few rows, and what only Spark's forests have, go to Spark's
 
 
-@pytest.mark.parametrize("row", [(0, None, [1.0]), (0, 1, None), (0, 1, [float("nan")])])
+@pytest.mark.parametrize("row", [(0, None, [1.0]), (0, 1, None), (0, 1, [None]), (0, 1, [float("nan")])])
 def test_rows_that_sparks_forests_refuse(spark, row):
     rows = spark.createDataFrame([(0, 0, [1.0]), row], "scenario int, label int, features array<double>")
-    with pytest.raises(Exception, match="a training row has no|not a number"):
+    with pytest.raises(Exception, match="a training row has no|is missing|not a number"):
         forests.fit_forests(rows, {0: [0]}, forests.Forest())
