@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +102,28 @@ def rows_to_json(df: DataFrame, cols: Sequence[str], name: str = "text") -> Data
     return df.withColumn(name, row_json(cols))
 
 
+def rows_from_json(df: DataFrame, cols: Sequence[str], name: str = "text") -> DataFrame:
+    """The numbers of the texts that ``rows_to_json`` writes, as double columns ``cols`` in place of the text column.
+
+    A parser for each text would take most of the time. A text with every field in order as a bare number is cut at its commas;
+    any other (a field absent or quoted, as for a null or NaN, blanks, another order) is parsed by ``from_json``.
+    """
+    kept = [c for c in df.columns if c != name]
+    pieces = df.select(*kept, name, F.split(name, ",").alias("_p"))
+    numbers = []
+    for i, c in enumerate(cols):
+        head, piece = "{" * (i == 0) + f'"{c}":', F.get("_p", F.lit(i))
+        number, fits = F.substring(piece, len(head) + 1, 1 << 30), piece.startswith(head)
+        if i == len(cols) - 1:
+            number, fits = F.substring_index(number, "}", 1), fits & piece.endswith("}") & (F.size("_p") == len(cols))
+        numbers.append(F.when(fits, number.try_cast("double")).alias(f"_n{i}"))
+    cut = pieces.select(*kept, name, *numbers)
+    plain = reduce(and_, [F.col(f"_n{i}").isNotNull() for i in range(len(cols))])
+    values = F.struct(*[F.col(f"_n{i}").alias(c) for i, c in enumerate(cols)])
+    parsed = F.from_json(name, T.StructType([T.StructField(c, T.DoubleType()) for c in cols]))
+    return cut.select(*kept, F.when(plain, values).otherwise(parsed).alias("_v")).select(*kept, "_v.*")
+
+
 def pool_tokens(tokens: DataFrame, key: Sequence[str], max_tokens: int | None = None, dim: int | None = None) -> DataFrame:
     """Mean vector of a row's unmasked tokens: ``key, dim, value``; ``max_tokens`` keeps positions below it.
 

@@ -477,8 +477,7 @@ def rows_to_json(spark, sf):
     masked = parts(scenario_rows(spark, sf))
     names = ["f1", "f2", "f3", "f4"]
     text = frames.rows_to_json(masked, names).select(*READING_KEY, "scenario", "text")
-    back = F.from_json("text", ", ".join(f"{n} double" for n in names))
-    return text.select(*READING_KEY, "scenario", back.alias("v")).select(*READING_KEY, "scenario", "v.*")
+    return frames.rows_from_json(text, names)
 
 
 @query(

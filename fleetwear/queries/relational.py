@@ -623,8 +623,7 @@ def long_metrics(spark, sf):
 @query("x1_row_json", sql("SELECT dataset, unit, cycle, s2, s3, s4, s7 FROM readings", V.READINGS))
 def row_json(spark, sf):
     text = frames.rows_to_json(V.readings(spark, sf), V.SENSORS).select(*READING_KEY, "text")
-    back = F.from_json("text", "s2 double, s3 double, s4 double, s7 double")
-    return text.select(*READING_KEY, back.alias("v")).select(*READING_KEY, "v.*")
+    return frames.rows_from_json(text, V.SENSORS)
 
 
 @query("x2_parse_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -204,3 +204,21 @@ def test_sensor_text_is_cut_once(spark, tmp_path):
     got = rows.select("dataset", "unit", "cycle", "set1", "set2").collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == [("FD007", 1, 2, 0.5, None), ("FD007", 6, None, 7.0, None)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_json_rows_are_parsed_only_where_they_must(spark):
+    """Cutting at the commas gives what a JSON parser gives, also for texts that a cut does not fit."""
+    numbers = [0.0, -0.0, -1.0, 6299.35, 1e-300, 1.7976931348623157e308, 5e-324, float("inf"), float("nan"), None]
+    made = [(a, b, c) for a in numbers for b in numbers for c in (-1.5, None, float("-inf"))]
+    texts = frames.rows_to_json(spark.createDataFrame(made, "f1 double, f2 double, `f,3` double"), ["f1", "f2", "f,3"]).select("text")
+    odd = ['{"f2":2,"f1":1,"f,3":3}', '{"f1": 1.0, "f2":2.0,"f,3":3.0 }', '{"f1":1.0,"f2":2.0,"f,3":3.0,"z":4.0}', '{"f1":1.0}', "{}", "", "x,y,z", None]
+    odd += ['{"f1":1,"f2":2e3,"f,3":-3E-2}', '{"f1":1.0}2,"f2":2.0,"f,3":3.0}', '{"f1":1.0,"f2":"2.0","f,3":3.0}', '{"f1":1.0,"f2":[2.0],"f,3":3.0']
+    texts = texts.union(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for cols in (["f1", "f2", "f,3"], ["f1", "f2"], ["f1"], ["f2", "f1"]):
+        schema = ", ".join(f"`{c}` double" for c in cols)
+        parsed = texts.select("text", F.from_json("text", schema).alias("v")).select("text", *[F.col("v").getField(c).alias(c) for c in cols])
+        got = frames.rows_from_json(texts.withColumn("kept", F.col("text")), cols).withColumnRenamed("kept", "text")
+        bits = lambda df: sorted(map(repr, df.collect()))
+        assert bits(got) == bits(parsed)
+    plain = texts.select(F.col("text").alias("kept"), "text")
+    assert "ELSE from_json" in frames.rows_from_json(plain, ["f1", "f2"])._jdf.queryExecution().optimizedPlan().toString()
